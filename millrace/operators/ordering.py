@@ -89,3 +89,19 @@ def group_cutoffs(df: DataFrame, group: str, score: str, wanted: Column, buckets
         .where((F.col("n_kept") >= F.col("n_target")) & (F.col("n_kept") - F.col("_n") < F.col("n_target")))
         .select(group, "n_rows", "n_target", F.col(score).alias("cutoff"), "n_kept")
     )
+
+
+def numbered(df: DataFrame, group: Sequence[str], key: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+    """Add dense numbers from 0 in the order of a numeric, unique ``key`` inside each group.
+
+    Equal-width buckets between a group's least and greatest key spread the sorting.
+    """
+    lows = df.groupBy(*group).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo") + 1) / buckets
+    rows = df.join(lows, list(group)) if group else df.crossJoin(F.broadcast(lows))
+    rows = rows.withColumn("_bucket", F.floor((F.col(key) - F.col("_lo")) / width).cast("int")).withColumn("_one", F.lit(1)).drop("_lo", "_hi")
+    if group:
+        done = running_total(rows, group, "_bucket", [F.col(key)], "_one", out)
+    else:
+        done = running_total(rows.withColumn("_all", F.lit(0)), ["_all"], "_bucket", [F.col(key)], "_one", out).drop("_all")
+    return done.withColumn(out, F.col(out) - 1).drop("_bucket", "_one")

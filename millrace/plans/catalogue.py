@@ -1,4 +1,8 @@
-"""Registered queries over the test tables and their SQL equivalents."""
+"""Registered queries over the test tables and their SQL equivalents.
+
+Every query runs over its whole tables. Where SQL has no equivalent, or would be too slow, a query
+has none and is tested against brute force on a small fixture.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +14,28 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def register(name: str, sql: str | None = None):
+    """Add a query, with SQL for the correctness check where there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import retrieval_queries, row_queries, run_queries, text_queries  # noqa: F401
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

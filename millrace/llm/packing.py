@@ -165,13 +165,13 @@ def plan_containers(histogram: np.ndarray, capacity: int) -> Packing:
         if count < 1:
             break
         while count > 0:
-            need: dict[int, int] = defaultdict(int)
+            need: dict[int, int] = {}
             for g in combos[k][combos[k] > 0]:
-                real = next((v for v in reversed(members[int(g)]) if remaining[v] - need[v] > 0), None)
+                real = next((v for v in reversed(members[int(g)]) if remaining[v] > need.get(v, 0)), None)
                 if real is None:
                     need = {}
                     break
-                need[real] += 1
+                need[real] = need.get(real, 0) + 1
             if not need:
                 break
             take = min([count, *(int(remaining[v]) // n for v, n in need.items())])

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import jaccard, split_sentences, tokenise
 from ..functions.vectors import mean_vectors
+from .ordering import BUCKETS, running_total
 
 
 def sentences(docs: DataFrame, key: str, text: str, longer_than: int = 20) -> DataFrame:
@@ -116,11 +117,16 @@ def heading_paths(chunks: DataFrame, docs: DataFrame, key: str) -> DataFrame:
 
 
 def global_ids(chunks: DataFrame, doc: str, order: str) -> DataFrame:
-    """Dense ``chunk_id`` from 0 in (doc, order). Counts per document give each its offset; only
-    these counts are ever in one window."""
+    """Dense ``chunk_id`` from 0 in (doc, order); ``doc`` is a number.
+
+    Counts per document give each its offset. The prefix sum over documents runs in buckets of
+    document numbers, so no task has all of them.
+    """
     counts = chunks.groupBy(doc).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(doc).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(doc, before.alias("_off"))
+    bounds = counts.agg(F.min(doc).alias("_lo"), F.max(doc).alias("_hi"))
+    bucket = F.floor((F.col(doc) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * BUCKETS).cast("int")
+    counts = counts.crossJoin(F.broadcast(bounds)).select(doc, "_n", F.lit(0).alias("_all"), bucket.alias("_bucket"))
+    offsets = running_total(counts, ["_all"], "_bucket", [F.col(doc)], "_n", "_upto").select(doc, (F.col("_upto") - F.col("_n")).alias("_off"))
     place = F.row_number().over(Window.partitionBy(doc).orderBy(order)) - 1
     return chunks.join(offsets, doc).withColumn("chunk_id", (F.col("_off") + place).cast("long")).drop("_off")
 

@@ -24,37 +24,37 @@ FEATURES = ["log_words", "sentence_mean", "sentence_max", "sentence_spread", "wo
 
 
 def measured(documents: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source") -> DataFrame:
-    """``(doc_id, source, words, sentences, score, <features>)`` of documents with enough words.
+    """``(doc_id, source, words, sentences, score, <features>)``, a row per row with an id.
 
     Length, vocabulary, syntax and cohesion distributions of the whole text, all in built-in
-    expressions where the text is read; the text itself is never shuffled. Documents of fewer than
-    ten words (null and blank texts among them) and rows without an id are left out.
+    expressions where the text is read; the text itself is never shuffled. Null and blank texts
+    have 0 words and 0 everywhere.
 
     A word is a run of letters; only sentences with a letter count. ``score`` is words / sentences
-    + 100 x (words of over 6 letters) / words.
+    + 100 x (words of over 6 letters) / words. Letters are looked for twice (sentence by sentence,
+    and to list the words); what else is counted is counted in the list.
     """
-    rows = documents.select(F.col(ident).alias("doc_id"), F.lower(strip(F.col(source))).alias("source"), F.col(text).alias("_t"))
-    rows = rows.where(F.col("doc_id").isNotNull()).withColumn("words", F.regexp_count("_t", F.lit(r"\p{L}+"))).where(F.col("words") >= MIN_WORDS)
+    rows = documents.select(F.col(ident).alias("doc_id"), F.lower(strip(F.col(source))).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    rows = rows.where(F.col("doc_id").isNotNull())
     # per sentence the number of words, in order; sentences without a letter have none
     per = F.filter(F.transform(F.split("_t", _END), lambda s: F.regexp_count(s, F.lit(r"\p{L}+"))), lambda n: n > 0)
-    vocabulary = F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}{4,}"), 0)
     rows = rows.select(
-        "doc_id", "source", "words",
-        per.alias("_per"), vocabulary.alias("_v"), F.length(F.regexp_replace("_t", r"\P{L}+", "")).alias("_letters"),
-        F.regexp_count("_t", F.lit(r"\p{L}{7,}")).alias("_long"), F.regexp_count("_t", F.lit(r"\p{L}{12,}")).alias("_longer"),
-        F.regexp_count("_t", F.lit("[,;:]")).alias("_commas"), F.regexp_count("_t", F.lit(r"\p{N}+")).alias("_digits"),
+        "doc_id", "source", per.alias("_per"), F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}+"), 0).alias("_w"),
+        F.regexp_count("_t", F.lit("[,;:]")).alias("_commas"), F.regexp_count("_t", F.lit("[0-9]+")).alias("_digits"),
     )
-    n, w = F.size("_per"), F.col("words")
-    mean = w / n
+    rows = rows.select("doc_id", "source", "_per", "_commas", "_digits", F.size("_w").alias("_words"), F.size(F.array_distinct("_w")).alias("_kinds"), F.array_join("_w", " ").alias("_j"))
+    rows = rows.select("*", F.regexp_count("_j", F.lit("[^ ]{7,}")).alias("_long"), F.regexp_count("_j", F.lit("[^ ]{12,}")).alias("_longer"), F.length("_j").alias("_size"))
+    n, w = F.greatest(F.size("_per"), F.lit(1)), F.greatest(F.col("_words"), F.lit(1))
+    mean = F.col("_words") / n
     spread = F.sqrt(F.greatest(F.lit(0.0), F.aggregate("_per", F.lit(0.0), lambda s, x: s + x * x) / n - mean * mean))
-    distinct = F.size(F.array_distinct("_v"))
+    long_share = F.lit(100.0) * F.col("_long") / w
     return rows.select(
-        "doc_id", "source", w.cast("long").alias("words"), n.cast("long").alias("sentences"), (mean + F.lit(100.0) * F.col("_long") / w).alias("score"),
-        F.log1p(w.cast("double")).alias("log_words"), mean.alias("sentence_mean"), F.array_max("_per").cast("double").alias("sentence_max"), spread.alias("sentence_spread"),
-        (F.col("_letters") / w).alias("word_letters"), (F.lit(100.0) * F.col("_long") / w).alias("long_share"), (F.lit(100.0) * F.col("_longer") / w).alias("very_long_share"),
-        (distinct / F.greatest(F.size("_v"), F.lit(1))).alias("distinct_share"), (F.col("_commas") / n).alias("commas"), (F.col("_digits") / n).alias("digits"),
-        # how often a content word comes again: returns per sentence
-        ((F.size("_v") - distinct) / n).alias("cohesion"),
+        "doc_id", "source", F.col("_words").cast("long").alias("words"), F.size("_per").cast("long").alias("sentences"), (mean + long_share).alias("score"),
+        F.log1p(F.col("_words").cast("double")).alias("log_words"), mean.alias("sentence_mean"), F.coalesce(F.array_max("_per"), F.lit(0)).cast("double").alias("sentence_max"), spread.alias("sentence_spread"),
+        ((F.col("_size") + 1) / w - 1).alias("word_letters"), long_share.alias("long_share"), (F.lit(100.0) * F.col("_longer") / w).alias("very_long_share"),
+        (F.col("_kinds") / w).alias("distinct_share"), (F.col("_commas") / n).alias("commas"), (F.col("_digits") / n).alias("digits"),
+        # how often a word comes again: returns per sentence
+        ((F.col("_words") - F.col("_kinds")) / n).alias("cohesion"),
     )
 
 
@@ -103,7 +103,7 @@ def fit_reading_model(documents: DataFrame, max_rows: int = MAX_TRAINING_ROWS, f
     share = min(1.0, 1.1 * max_rows / max(total, 1))
     some = documents.where(draw <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else documents
     sample = measured(some).withColumn("_d", draw).orderBy("_d", "doc_id").limit(max_rows).drop("_d").toPandas()
-    return train(sample, folds)
+    return train(sample[sample["words"] >= MIN_WORDS], folds)
 
 
 def band(score: Column) -> Column:
@@ -115,13 +115,15 @@ def reading_levels(documents: DataFrame, model: ReadingModel) -> DataFrame:
 
     ``grade`` is the model's calibrated prediction and ``predicted`` its band. ``band`` is that
     band after the exact check against ``score``, which settles it where the two differ. Of rows
-    repeating an id the one with most words (then the greatest score) counts.
+    repeating an id the one with most words (then the greatest score) counts. Documents of fewer
+    than ten words, null and blank texts among them, and rows without an id are left out.
     """
     rows = measured(documents)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b[b["words"] >= MIN_WORDS]
             out = b[["doc_id", "source", "words", "sentences", "score"]].copy()
             out["grade"] = model.grade(b[FEATURES].to_numpy(float))
             yield out

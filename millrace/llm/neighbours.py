@@ -66,7 +66,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def nearest_pivots(units: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """For each row the numbers of its ``prefix`` nearest pivots, nearest first, ties by number."""
     out = np.empty((len(units), prefix), np.int32)
-    step = max(64, 8_000_000 // max(1, len(pivots)))
+    step = max(64, 4_000_000 // max(1, len(pivots)))
     for s in range(0, len(units), step):
         near = units[s : s + step] @ pivots.T
         top = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if prefix < len(pivots) else np.tile(np.arange(len(pivots)), (len(near), 1))
@@ -163,8 +163,18 @@ def all_neighbours(table: DataFrame, p: IndexParameters = IndexParameters(), ide
     spark = table.sparkSession
     valid = usable_vectors(table, p, ident, vector)
     id_type = valid.schema["chunk_id"].dataType.simpleString()
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    valid = valid.withColumn("_n", norm).withColumn("_dir", F.xxhash64(F.transform("embedding", lambda x: F.round(x / F.col("_n"), 6) + F.lit(0.0)))).drop("_n")
+    codes = np.random.default_rng(p.seed).integers(-(2**62), 2**62, p.dimension) * 2 + 1
+
+    def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                steps = np.rint(_unit(_matrix(b.column("embedding"), p.dimension)) * 1e6).astype(np.int64)
+                with np.errstate(over="ignore"):
+                    mixed = steps @ codes
+                    mixed ^= mixed >> 29
+                yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("embedding"), pa.array(mixed)], ["chunk_id", "embedding", "_dir"])
+
+    valid = valid.mapInArrow(directions, f"chunk_id {id_type}, embedding array<float>, _dir long")
     valid = durable(valid, "vectors")
     total = valid.count()
     if total < 2:

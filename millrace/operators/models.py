@@ -118,7 +118,8 @@ class OfflineModel:
 
     def _one(self, prompt: str) -> str:
         fields = {k: v.strip() for k, v in re.findall(r"^([A-Z_]+): (.*?)(?=^[A-Z_]+: |\Z)", prompt, re.M | re.S)}
-        return getattr(self, "_" + fields.get("TASK", "echo").lower(), self._echo)(fields)
+        task = fields.get("TASK", "echo").split("\n")[0].strip().lower()
+        return getattr(self, "_" + task, self._echo)(fields)
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -136,7 +137,7 @@ class OfflineModel:
         words = self._words(f.get("TEXT", ""))
         items = [
             {"question": f"What does the record say about {w}?", "follow_up_q": f"And how does {w} change over time?", "question_type": kinds[k % 3], "difficulty": ("simple", "moderate", "complex")[k % 3]}
-            for k, w in enumerate(words[: int(f.get("MOST", "3") or 3)])
+            for k, w in enumerate(words[: int(f.get("MOST", "3").split()[0])])
         ]
         return "```json\n" + json.dumps(items) + "\n```"
 
@@ -153,7 +154,7 @@ class OfflineModel:
 
     def _multihop(self, f: dict) -> str:
         words = [w for w in f.get("CONCEPTS", "").split(", ") if w]
-        return json.dumps([{"question": f"How does {w} link both records?", "follow_up_q": f"What follows from {w} in both?", "difficulty": "complex", "reasoning_type": "bridge"} for w in words[: int(f.get("MOST", "3") or 3)]])
+        return json.dumps([{"question": f"How does {w} link both records?", "follow_up_q": f"What follows from {w} in both?", "difficulty": "complex", "reasoning_type": "bridge"} for w in words[: int(f.get("MOST", "3").split()[0])]])
 
     def _answer(self, f: dict) -> str:
         asked = set(self._words(f.get("QUESTION", "")))

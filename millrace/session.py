@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +59,29 @@ def durable(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors, once an application.
+
+    Python functions of a plan are found by the workers by name; whoever starts the driver from
+    another folder need not have the package on the workers' path.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, f"{root.name}/{source.relative_to(root)}")
+    jvm = sc._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{root.name}-{uuid.uuid4().hex}.zip")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(held.getvalue())
+    out.close()
+    sc.addPyFile(target.toString())
+    _SHIPPED.add(sc.applicationId)

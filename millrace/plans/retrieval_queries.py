@@ -43,13 +43,13 @@ def band_pairs_top50(spark, sf):
 _EDGES = f"""{_NEAR}, edges AS (SELECT query_id AS src, item_id AS dst FROM ranked WHERE rank <= 9 AND similarity > 0.35 AND query_id < item_id)"""
 
 
-@register(
-    "near_dup_greedy",
-    f"""WITH RECURSIVE {_EDGES}, ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
+_GREEDY = f"""WITH RECURSIVE {_EDGES}, ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
     walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone UNION ALL SELECT i.n, CASE WHEN list_contains(w.gone, i.vec_id) THEN w.gone ELSE
-      list_distinct(list_concat(w.gone, coalesce((SELECT list(dst) FROM edges WHERE src = i.vec_id), []))) END FROM walk w JOIN ids i ON i.n = w.n + 1)
-    SELECT vec_id AS id FROM ids WHERE NOT list_contains((SELECT gone FROM walk ORDER BY n DESC LIMIT 1), vec_id)""",
-)
+      list_distinct(list_concat(w.gone, coalesce((SELECT list(dst) FROM edges WHERE src = i.vec_id), []))) END FROM walk w JOIN ids i ON i.n = w.n + 1),
+    stay AS (SELECT vec_id AS id FROM ids WHERE NOT list_contains((SELECT gone FROM walk ORDER BY n DESC LIMIT 1), vec_id))"""
+
+
+@register("near_dup_greedy", f"{_GREEDY} SELECT id FROM stay")
 def near_dup_greedy(spark, sf):
     v = vectors(spark, sf)
     return dedup.greedy_survivors(v, dedup.duplicate_edges(v, 0.35), "id")
@@ -60,7 +60,7 @@ def dedup_preview(spark, sf):
     return dedup.pair_preview(dedup.duplicate_edges(vectors(spark, sf), 0.35))
 
 
-@register("dedup_report")
+@register("dedup_report", f"{_GREEDY} SELECT (SELECT count(*) FROM ids) AS before_dedup, count(*) AS after_dedup, (SELECT count(*) FROM ids) - count(*) AS duplicates_removed, 0.35::DOUBLE AS threshold FROM stay")
 def dedup_report(spark, sf):
     return dedup.deduplicate(vectors(spark, sf), 0.35)[1]
 

@@ -103,7 +103,12 @@ def scenario_assign(spark, sf):
     return scenarios.scenarios(triples(spark, sf).select("triple_id"), "triple_id")
 
 
-@register("type_quota")
+@register(
+    "type_quota",
+    "WITH s AS (SELECT source_file, count(DISTINCT chunk_id) AS n FROM chunks GROUP BY source_file), k AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{t}', {v})" for t, v in scenarios.TYPE_SHARES.items() if t != "multihop")
+    + ") AS v(target_type, share)) SELECT source_file, target_type, greatest(1, round_even(n * share::DOUBLE, 0))::BIGINT AS n_questions FROM s, k",
+)
 def type_quota(spark, sf):
     """Pools of question types for the chunks of each file."""
     sizes = table(spark, sf, "chunks").groupBy("source_file").agg(F.countDistinct("chunk_id").alias("n"))

@@ -33,8 +33,8 @@ class IndexParameters:
     dimension: int = 64
     vectors_per_pivot: int = 60
     max_pivots: int = 65_536
-    posted: int = 8
-    prefix: int = 16
+    posted: int = 10
+    prefix: int = 20
     reranked: int = 64
     block: int = 4_096
     seed: int = 11

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import reporting
+from ..session import shared_dir
 from ..streaming import progress
 from .catalogue import register, table
 from .row_queries import _LAB, _ONE, _S, triples
@@ -96,18 +99,21 @@ def progress_states(spark, sf):
     return e.groupBy(F.col("user_id").cast("string").alias("run_id")).agg(F.count_if(F.col("event_type") == "view").alias("phases_seen"), F.max(F.when(F.col("event_type").isin("purchase", "error"), F.col("ts"))).alias("closed_at"))
 
 
-def _as_progress(spark, sf):
-    e = table(spark, sf, "events")
+def _progress_of(events):
     kind = F.when(F.col("event_type") == "view", "phase_complete").when(F.col("event_type") == "purchase", "pipeline_complete").when(F.col("event_type") == "error", "pipeline_failed").otherwise("log")
-    return e.select(F.col("user_id").cast("string").alias("run_id"), kind.alias("type"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 7 + 1).cast("int").alias("phase_number"), F.lit(7).alias("total_phases"))
+    return events.select(F.col("user_id").cast("string").alias("run_id"), kind.alias("type"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 7 + 1).cast("int").alias("phase_number"), F.lit(7).alias("total_phases"))
 
 
-@register(
-    "run_states",
-    """WITH e AS (SELECT user_id::VARCHAR AS run_id, CASE event_type WHEN 'view' THEN 'phase_complete' WHEN 'purchase' THEN 'pipeline_complete' WHEN 'error' THEN 'pipeline_failed' ELSE 'log' END AS type, ts, event_id % 7 + 1 AS p FROM events),
+def _as_progress(spark, sf):
+    return _progress_of(table(spark, sf, "events"))
+
+
+_RUN_STATES = """WITH e AS (SELECT user_id::VARCHAR AS run_id, CASE event_type WHEN 'view' THEN 'phase_complete' WHEN 'purchase' THEN 'pipeline_complete' WHEN 'error' THEN 'pipeline_failed' ELSE 'log' END AS type, ts, event_id % 7 + 1 AS p FROM events),
     s AS (SELECT run_id, max(CASE WHEN type LIKE 'pipeline_%' THEN {'ts': ts, 'type': type} END).type AS last, count_if(type = 'phase_complete') AS n_phase, coalesce(max(CASE WHEN type = 'phase_complete' THEN p END), 0)::INT AS phases_completed, count(*) AS n_events FROM e GROUP BY run_id)
-    SELECT run_id, CASE last WHEN 'pipeline_complete' THEN 'completed' WHEN 'pipeline_failed' THEN 'failed' ELSE CASE WHEN n_phase > 0 THEN 'running' ELSE 'pending' END END AS status, phases_completed, floor(phases_completed / 7 * 100)::INT AS progress_pct, n_events FROM s""",
-)
+    SELECT run_id, CASE last WHEN 'pipeline_complete' THEN 'completed' WHEN 'pipeline_failed' THEN 'failed' ELSE CASE WHEN n_phase > 0 THEN 'running' ELSE 'pending' END END AS status, phases_completed, floor(phases_completed / 7 * 100)::INT AS progress_pct, n_events FROM s"""
+
+
+@register("run_states", _RUN_STATES)
 def run_states(spark, sf):
     """The fold of run states as a batch; the stream of the same events gives the same table."""
     return progress.run_states(_as_progress(spark, sf))
@@ -133,3 +139,33 @@ def volume_by_supplier_nation(spark, sf):
     named = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey").join(table(spark, sf, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = lines.join(named, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.groupBy("n_name", F.year(F.col("l_shipdate").cast("date")).alias("ship_year")).agg(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(20,6)")).cast("double").alias("revenue"), F.count("*").alias("n_lines"))
+
+
+def _streamed(spark, sf, plan):
+    """The result of a plan over the stream of events, once all of it has gone through."""
+    # a pattern: a stream takes a folder or a pattern, and the table may be a single file
+    source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+    name = f"stream_{uuid.uuid4().hex}"
+    query = plan(source).writeStream.outputMode("complete").format("memory").queryName(name)
+    query.option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@register("event_windows_streamed", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows_streamed(spark, sf):
+    """The windows of ``event_windows`` from a stream with a watermark."""
+    out = _streamed(spark, sf, lambda e: progress.event_windows(e, "ts", "1 hour", "2 hours", "event_type"))
+    return out.withColumn("total", F.round("total", 4))
+
+
+@register("run_states_streamed", _RUN_STATES)
+def run_states_streamed(spark, sf):
+    """The fold of ``run_states`` over the stream of the same events."""
+    return _streamed(spark, sf, lambda e: progress.run_states(_progress_of(e)))
+
+
+@register("progress_lines")
+def progress_lines(spark, sf):
+    """Events as lines of a server-sent stream."""
+    e = _as_progress(spark, sf).withColumns({"phase": F.lit(None).cast("string"), "level": F.lit("info"), "message": F.lit(None).cast("string"), "details": F.lit(None).cast("string")})
+    return progress.sse_lines(e)

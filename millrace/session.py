@@ -49,6 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``durable`` wrote in this application; frames that read them end."""
+    sc = spark.sparkContext
+    paths = _WRITTEN.pop(sc.applicationId, [])
+    for path in paths:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def durable(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -58,6 +71,7 @@ def durable(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

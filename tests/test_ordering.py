@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.ordering import group_cutoffs, hash_bucket, numbered, running_total
-from millrace.session import durable, shared_dir
+from millrace.session import durable, release, shared_dir
 
 
 def test_hash_bucket_is_monotone(spark):
@@ -49,3 +49,4 @@ def test_durable_cuts_lineage(spark):
     df = durable(spark.range(10).withColumn("x", F.rand()))
     assert df.collect() == df.collect() and "parquet" in df._jdf.queryExecution().toString().lower()
     assert shared_dir(spark)
+    assert release(spark) >= 1 and release(spark) == 0

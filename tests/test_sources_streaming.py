@@ -109,3 +109,16 @@ def test_windows_of_batch_and_stream_agree(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("windows").collect()} == want
+
+
+def test_logs_time_their_phases():
+    from millrace.logs import StageLog, logged, setup_logging
+
+    assert setup_logging() is setup_logging() and len(setup_logging().handlers) == 1
+    log = StageLog("chunker")
+    with log.phase("all"), log.step("one"):
+        log.say("at work")
+    with pytest.raises(KeyError), log.step("two"):
+        raise KeyError("x")
+    assert [(k, n) for k, n, _ in log.timings] == [("step", "one"), ("phase", "all"), ("step", "two")] and log.at == "-"
+    assert logged("agent")(lambda x: x + 1)(2) == 3

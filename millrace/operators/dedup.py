@@ -65,3 +65,19 @@ def exact_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(content_hash, first_id, n_copies)`` of texts; null texts are left out."""
     hashed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.sha2(F.col(text), 256).alias("content_hash"))
     return hashed.groupBy("content_hash").agg(F.min("_k").alias("first_id"), F.count("*").alias("n_copies"))
+
+
+def copy_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, class_id, n_copies)``: one row per document with text; copies share the smallest key."""
+    hashed = docs.where(F.col(text).isNotNull()).select(key, F.sha2(F.col(text), 256).alias("_h"))
+    classes = hashed.groupBy("_h").agg(F.min(key).alias("class_id"), F.count("*").alias("n_copies"))
+    return hashed.join(classes, "_h").drop("_h")
+
+
+def item_links(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, n_links, kept)``: one row per item with its number of links to near-duplicates."""
+    links = durable(edges, "edges")
+    ends = links.select(F.col("src").alias("id")).unionAll(links.select("dst")).groupBy("id").agg(F.count("*").alias("_n"))
+    stay = greedy_survivors(items, links).withColumn("_k", F.lit(True))
+    out = items.select("id").join(ends, "id", "left").join(stay, "id", "left")
+    return out.select("id", F.coalesce("_n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("_k", F.lit(False)).alias("kept"))

@@ -19,10 +19,11 @@ def vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-@register("knn_top5", f"WITH {_NEAR} SELECT query_id, item_id, similarity, rank::INT AS rank FROM ranked WHERE rank <= 5")
+@register("knn_top5", f"WITH {_NEAR} SELECT query_id, item_id, similarity, rank::INT AS rank FROM ranked WHERE rank <= 5 AND query_id % 20 = 0")
 def knn_top5(spark, sf):
+    """Every twentieth vector is a query, all are searched."""
     v = vectors(spark, sf)
-    return V.exact_top_k(v, v, 5, same=True)
+    return V.exact_top_k(v.where("id % 20 = 0"), v, 5, same=True)
 
 
 @register("band_pairs", f"WITH {_NEAR} SELECT DISTINCT least(query_id, item_id) AS id_a, greatest(query_id, item_id) AS id_b, similarity FROM ranked WHERE rank <= 19 AND similarity BETWEEN 0.4 AND 0.82")
@@ -55,6 +56,17 @@ def near_dup_greedy(spark, sf):
     return dedup.greedy_survivors(v, dedup.duplicate_edges(v, 0.35), "id")
 
 
+@register(
+    "near_dup_links",
+    f"""{_GREEDY}, ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges)
+    SELECT vec_id AS id, (SELECT count(*) FROM ends WHERE ends.id = vec_id) AS n_links, vec_id IN (SELECT id FROM stay) AS kept FROM ids""",
+)
+def near_dup_links(spark, sf):
+    """One row per item: how many links it has, and whether it stays."""
+    v = vectors(spark, sf)
+    return dedup.item_links(v, dedup.duplicate_edges(v, 0.35))
+
+
 @register("dedup_preview", f"WITH {_EDGES} SELECT src, dst FROM edges ORDER BY src, dst LIMIT 5")
 def dedup_preview(spark, sf):
     return dedup.pair_preview(dedup.duplicate_edges(vectors(spark, sf), 0.35))
@@ -121,13 +133,13 @@ def bm25_sections(spark, sf):
 
 @register(
     "bm25_questions",
-    rf"""WITH q AS (SELECT DISTINCT triple_id AS qid, question FROM qa_triples WHERE question IS NOT NULL), tq AS (SELECT qid, regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+') AS t FROM q),
+    rf"""WITH q AS (SELECT DISTINCT triple_id AS qid, question FROM qa_triples WHERE question IS NOT NULL AND triple_id % 20 = 0), tq AS (SELECT qid, regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+') AS t FROM q),
     asked AS (SELECT qid, u AS term, count(*) AS qtf FROM (SELECT qid, unnest(list_concat(t, list_filter(t, lambda x: length(x) > 2 AND NOT list_contains([{", ".join(f"'{w}'" for w in T.STOP_WORDS)}], x) AND regexp_full_match(x, '[\p{{L}}\p{{N}}]+')))) AS u FROM tq) GROUP BY qid, u),
     {_BM25} SELECT qid, chunk_id, sparse_rank::INT AS sparse_rank FROM sparse WHERE sparse_rank <= 5""",
 )
 def bm25_questions(spark, sf):
-    """The five best chunks for every question, with expanded queries."""
-    asked = table(spark, sf, "qa_triples").where("question is not null").select(F.col("triple_id").alias("qid"), "question").distinct()
+    """The five best chunks for every twentieth question, with expanded queries, among all chunks."""
+    asked = table(spark, sf, "qa_triples").where("question is not null and triple_id % 20 = 0").select(F.col("triple_id").alias("qid"), "question").distinct()
     asked = asked.select("qid", T.expand_query(F.col("question")).alias("tokens"))
     scores = retrieval.bm25_scores(asked, _corpus(spark, sf), "qid", "chunk_id")
     return retrieval.sparse_ranks(scores, "qid", "chunk_id", 5).select("qid", "chunk_id", "sparse_rank")
@@ -197,6 +209,11 @@ def keyphrase_edges(spark, sf):
     return _class_edges(spark, sf, "keyphrases", graph.KEYPHRASE)
 
 
+@register("entity_membership", f"WITH {_SETS.format('entities')} SELECT chunk_id, class_id FROM sets JOIN classes USING (terms)")
+def entity_membership(spark, sf):
+    return graph.term_classes(nodes(spark, sf), "entities")[1]
+
+
 @register("keyphrase_membership", f"WITH {_SETS.format('keyphrases')} SELECT chunk_id, class_id FROM sets JOIN classes USING (terms)")
 def keyphrase_membership(spark, sf):
     return graph.term_classes(nodes(spark, sf), "keyphrases")[1]

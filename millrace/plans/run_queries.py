@@ -13,9 +13,9 @@ from .catalogue import register, table
 from .row_queries import _LAB, _ONE, _S, triples
 
 
-@register("recent_runs", "SELECT run_id, started_at FROM pipeline_runs ORDER BY started_at DESC NULLS LAST, run_id LIMIT 10")
+@register("recent_runs", "SELECT run_id, epoch_us(started_at)::BIGINT AS started_us FROM pipeline_runs ORDER BY started_at DESC NULLS LAST, run_id LIMIT 10")
 def recent_runs(spark, sf):
-    return reporting.recent(table(spark, sf, "pipeline_runs"), "started_at", "run_id").select("run_id", "started_at")
+    return reporting.recent(table(spark, sf, "pipeline_runs"), "started_at", "run_id").select("run_id", F.unix_micros("started_at").alias("started_us"))
 
 
 @register("live_runs", f"SELECT run_id FROM pipeline_runs WHERE NOT coalesce({_LAB('status')} IN ('completed', 'failed') AND epoch(TIMESTAMPTZ '2025-12-31 00:00:00+00') - epoch(started_at) > 3600, false)")

@@ -69,6 +69,12 @@ def exact_dedup(spark, sf):
     return dedup.exact_duplicates(table(spark, sf, "documents"), "doc_id", "text")
 
 
+@register("exact_dedup_classes", "SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS n_copies FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY sha256(text))")
+def exact_dedup_classes(spark, sf):
+    """One row per document with the smallest id among its exact copies."""
+    return dedup.copy_classes(table(spark, sf, "documents"), "doc_id", "text")
+
+
 _FOLD = _SENTS + r""", toks AS (SELECT doc_id, sent_idx, length(sentence)::INT AS len, list_distinct(regexp_extract_all(lower(sentence), '[\p{L}\p{N}_]+')) AS w FROM sents),
 pairs AS (SELECT a.doc_id, a.sent_idx, a.len, b.len AS nxt, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE
     round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) END AS sim FROM toks a LEFT JOIN toks b ON a.doc_id = b.doc_id AND b.sent_idx = a.sent_idx + 1),

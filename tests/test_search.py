@@ -105,6 +105,15 @@ def test_dedup_chain_and_copies(spark):
     assert dedup.deduplicate(vecs(spark, rows[:1]), 0.92)[0].count() == 1
 
 
+def test_links_and_copies(spark):
+    items = vecs(spark, [(k, [1, k]) for k in range(4)])
+    edges = spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")
+    assert {r.id: (r.n_links, r.kept) for r in dedup.item_links(items, edges).collect()} == {0: (1, True), 1: (2, False), 2: (1, True), 3: (0, True)}
+    docs = spark.createDataFrame([(5, "x"), (3, "x"), (4, "y"), (9, None)], "d long, t string")
+    assert {r.d: (r.class_id, r.n_copies) for r in dedup.copy_classes(docs, "d", "t").collect()} == {5: (3, 2), 3: (3, 2), 4: (4, 1)}
+    assert dedup.item_links(items.limit(0), edges.limit(0)).count() == 0
+
+
 def nodes(spark, rows):
     return spark.createDataFrame(rows, "chunk_id int, source_file string, entities array<string>, keyphrases array<string>, parent_section string")
 

@@ -15,7 +15,8 @@ class PipelineConfig:
     max_chunk_size: int = 3000
     max_questions_per_chunk: int = 15
     dedup_threshold: float = 0.92
-    dedup_neighbours: int = 9
+    #: None: every pair over the threshold; a number is the original pipeline's mode, which loses links.
+    dedup_neighbours: int | None = None
     dense_weight: float = 0.6
     sparse_weight: float = 0.4
     rrf_k: int = 60

@@ -126,6 +126,55 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, same: bool = False
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _over(ids: np.ndarray, q: np.ndarray, other: np.ndarray, units: np.ndarray, threshold: float, mirrored: bool) -> Iterator[pd.DataFrame]:
+    """Pairs over the threshold, tile by tile; ``mirrored``: each pair is met from both sides."""
+    for s in range(0, len(q), 512):
+        for t in range(0, len(units), 4096):
+            rows, cols = np.nonzero(np.round(q[s : s + 512] @ units[t : t + 4096].T, 6) > threshold)
+            a, b = ids[s : s + 512][rows], other[t : t + 4096][cols]
+            keep = a < b if mirrored else a != b
+            a, b = a[keep], b[keep]
+            yield pd.DataFrame({"src": a, "dst": b} if mirrored else {"src": np.where(a < b, a, b), "dst": np.where(a < b, b, a)})
+
+
+def pairs_over(items: DataFrame, threshold: float) -> DataFrame:
+    """``(src, dst)``, src < dst: every pair of ``(id, embedding)`` whose cosine, rounded to 6
+    decimals, is over ``threshold``, however many partners an item has.
+
+    Up to ``BROADCAST_ROWS`` items are broadcast as one matrix; beyond, every unordered pair of
+    hashed blocks is a task, of blocks half as large since all their pairs may come out.
+    """
+    spark = items.sparkSession
+    items = items.select("id", "embedding").where("id is not null and embedding is not null")
+    kind = items.schema["id"].dataType.simpleString()
+    shape = f"src {kind}, dst {kind}"
+    n = items.count()
+    if n < 2:
+        return spark.createDataFrame([], shape)
+    if n <= BROADCAST_ROWS:
+        held = items.toPandas()
+        shared = spark.sparkContext.broadcast((held["id"].to_numpy(), _units(held["embedding"])))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, units = shared.value
+            for b in batches:
+                if len(b):
+                    yield from _over(b["id"].to_numpy(), _units(b["embedding"]), ids, units, threshold, True)
+
+        return items.repartition(spark.sparkContext.defaultParallelism, "id").mapInPandas(search, shape)
+    blocks = -(-n // max(1, BLOCK_ROWS // 2))
+    placed = items.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left = placed.withColumn("_a", F.col("_p")).withColumn("_b", F.explode(F.sequence("_p", F.lit(blocks - 1))))
+    right = placed.toDF("id", "embedding", "_q").withColumn("_b", F.col("_q")).withColumn("_a", F.explode(F.sequence(F.lit(0), "_q")))
+
+    def pair(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": a["id"][:0], "dst": a["id"][:0]})
+        return pd.concat(_over(a["id"].to_numpy(), _units(a["embedding"]), b["id"].to_numpy(), _units(b["embedding"]), threshold, key[0] == key[1]))
+
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(pair, shape)
+
+
 def band_pairs(neighbours: DataFrame, low: float = 0.4, high: float = 0.82) -> DataFrame:
     """Unordered pairs of which one is a neighbour of the other and whose similarity lies in
     [low, high]. ``neighbours`` comes from ``exact_top_k(..., same=True)`` with one fewer than the

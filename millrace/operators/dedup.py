@@ -5,19 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import exact_top_k
+from ..functions.vectors import exact_top_k, norm, pairs_over
 from ..session import durable
 
+#: Neighbours of an item that the original pipeline looks at (its ten, less the item itself).
+REFERENCE_NEIGHBOURS = 9
 
-def duplicate_edges(items: DataFrame, threshold: float = 0.92, neighbours: int = 9) -> DataFrame:
-    """``(src, dst)``, src < dst: dst is among the nearest of src, more similar than ``threshold``.
 
-    The item itself takes no slot among its neighbours.
+def duplicate_edges(items: DataFrame, threshold: float = 0.92, neighbours: int | None = None) -> DataFrame:
+    """``(src, dst)``, src < dst: every pair more similar than ``threshold``.
+
+    ``neighbours`` is the mode of the original pipeline (``REFERENCE_NEIGHBOURS``): dst must also be
+    among so many nearest of src, equal similarities to the smaller ids, the item itself taking no
+    slot. It loses links in groups larger than that.
     """
+    if neighbours is None:
+        return pairs_over(items, threshold)
     near = exact_top_k(items, items, neighbours, same=True)
     return near.where((F.col("similarity") > threshold) & (F.col("query_id") < F.col("item_id"))).select(F.col("query_id").alias("src"), F.col("item_id").alias("dst"))
 
 
+def vector_classes(items: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """``(id, class_id, n_copies)``: one row per item; equal vectors share the smallest id.
+
+    Vectors without a direction are similar to nothing, and at a threshold of 1 nothing is over it:
+    such items are classes of their own.
+    """
+    size = norm(F.col("embedding"))
+    alike = F.coalesce((size > 0) & (size < float("inf")), F.lit(False)) & F.lit(threshold < 1)
+    marked = items.select("id", "embedding", alike.alias("_s"))
+    some = marked.where("_s").select("id", "embedding")
+    classes = some.groupBy("embedding").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
+    alone = marked.where("not _s").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    return some.join(classes, "embedding").select("id", "class_id", "n_copies").unionByName(alone)
+
+
 def greedy_survivors(ids: DataFrame, edges: DataFrame, key: str = "id", max_rounds: int = 10_000) -> DataFrame:
     """Keys that stay when items are visited in order and each one that stays removes its later
     neighbours.
@@ -47,9 +69,18 @@ def greedy_survivors(ids: DataFrame, edges: DataFrame, key: str = "id", max_roun
     return ids.select(key).join(dropped.distinct(), key, "left_anti")
 
 
-def deduplicate(items: DataFrame, threshold: float = 0.92, neighbours: int = 9) -> tuple[DataFrame, DataFrame]:
-    """(surviving items, one-row report) of ``(id, embedding, ...)``."""
-    stay = greedy_survivors(items, duplicate_edges(items, threshold, neighbours), "id")
+def deduplicate(items: DataFrame, threshold: float = 0.92, neighbours: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(surviving items, one-row report) of ``(id, embedding, ...)``.
+
+    Of equal vectors the first represents all: what removes one removes each, and a first one that
+    stays removes the others. So only representatives are compared. ``neighbours`` as for the edges.
+    """
+    if neighbours is None:
+        classes = durable(vector_classes(items, threshold), "classes")
+        first = items.join(classes.where("id = class_id").select("id"), "id", "left_semi")
+        stay = greedy_survivors(first, duplicate_edges(first, threshold), "id")
+    else:
+        stay = greedy_survivors(items, duplicate_edges(items, threshold, neighbours), "id")
     kept = items.join(stay, "id", "left_semi")
     before = items.agg(F.count("*").alias("before_dedup"))
     after = stay.agg(F.count("*").alias("after_dedup"))
@@ -74,10 +105,21 @@ def copy_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return hashed.join(classes, "_h").drop("_h")
 
 
-def item_links(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, n_links, kept)``: one row per item with its number of links to near-duplicates."""
+def item_links(items: DataFrame, edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """``(id, n_links, kept)``: one row per item with its number of links to near-duplicates.
+
+    With ``classes`` of equal vectors the edges are those between representatives; links are counted
+    over members without unfolding them.
+    """
     links = durable(edges, "edges")
-    ends = links.select(F.col("src").alias("id")).unionAll(links.select("dst")).groupBy("id").agg(F.count("*").alias("_n"))
-    stay = greedy_survivors(items, links).withColumn("_k", F.lit(True))
-    out = items.select("id").join(ends, "id", "left").join(stay, "id", "left")
-    return out.select("id", F.coalesce("_n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("_k", F.lit(False)).alias("kept"))
+    both = links.select(F.col("src").alias("id"), F.col("dst").alias("_o")).unionAll(links.select("dst", "src"))
+    if classes is None:
+        ends = both.groupBy("id").agg(F.count("*").alias("_n"))
+        stay = greedy_survivors(items, links).withColumn("_k", F.lit(True))
+        out = items.select("id").join(ends, "id", "left").join(stay, "id", "left")
+        return out.select("id", F.coalesce("_n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("_k", F.lit(False)).alias("kept"))
+    first = classes.where("id = class_id")
+    ends = both.join(first.select(F.col("id").alias("_o"), "n_copies"), "_o").groupBy("id").agg(F.sum("n_copies").alias("_n"))
+    stay = greedy_survivors(first, links).withColumn("_k", F.lit(True))
+    out = classes.join(ends.withColumnRenamed("id", "class_id"), "class_id", "left").join(stay, "id", "left")
+    return out.select("id", (F.coalesce("_n", F.lit(0).cast("long")) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("_k", F.lit(False)).alias("kept"))

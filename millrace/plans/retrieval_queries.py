@@ -41,6 +41,7 @@ def band_pairs_top50(spark, sf):
     return pairs.orderBy(F.desc("cross_group"), F.desc("similarity"), "id_a", "id_b").limit(50)
 
 
+# The SQL of these queries ranks nine neighbours, as the original pipeline does: its mode, by name.
 _EDGES = f"""{_NEAR}, edges AS (SELECT query_id AS src, item_id AS dst FROM ranked WHERE rank <= 9 AND similarity > 0.35 AND query_id < item_id)"""
 
 
@@ -53,7 +54,7 @@ _GREEDY = f"""WITH RECURSIVE {_EDGES}, ids AS (SELECT vec_id, row_number() OVER
 @register("near_dup_greedy", f"{_GREEDY} SELECT id FROM stay")
 def near_dup_greedy(spark, sf):
     v = vectors(spark, sf)
-    return dedup.greedy_survivors(v, dedup.duplicate_edges(v, 0.35), "id")
+    return dedup.greedy_survivors(v, dedup.duplicate_edges(v, 0.35, dedup.REFERENCE_NEIGHBOURS), "id")
 
 
 @register(
@@ -64,17 +65,17 @@ def near_dup_greedy(spark, sf):
 def near_dup_links(spark, sf):
     """One row per item: how many links it has, and whether it stays."""
     v = vectors(spark, sf)
-    return dedup.item_links(v, dedup.duplicate_edges(v, 0.35))
+    return dedup.item_links(v, dedup.duplicate_edges(v, 0.35, dedup.REFERENCE_NEIGHBOURS))
 
 
 @register("dedup_preview", f"WITH {_EDGES} SELECT src, dst FROM edges ORDER BY src, dst LIMIT 5")
 def dedup_preview(spark, sf):
-    return dedup.pair_preview(dedup.duplicate_edges(vectors(spark, sf), 0.35))
+    return dedup.pair_preview(dedup.duplicate_edges(vectors(spark, sf), 0.35, dedup.REFERENCE_NEIGHBOURS))
 
 
 @register("dedup_report", f"{_GREEDY} SELECT (SELECT count(*) FROM ids) AS before_dedup, count(*) AS after_dedup, (SELECT count(*) FROM ids) - count(*) AS duplicates_removed, 0.35::DOUBLE AS threshold FROM stay")
 def dedup_report(spark, sf):
-    return dedup.deduplicate(vectors(spark, sf), 0.35)[1]
+    return dedup.deduplicate(vectors(spark, sf), 0.35, dedup.REFERENCE_NEIGHBOURS)[1]
 
 
 @register(

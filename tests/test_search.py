@@ -105,6 +105,34 @@ def test_dedup_chain_and_copies(spark):
     assert dedup.deduplicate(vecs(spark, rows[:1]), 0.92)[0].count() == 1
 
 
+@pytest.mark.parametrize("blocked", [False, True])
+def test_groups_larger_than_the_neighbours(spark, monkeypatch, blocked):
+    if blocked:
+        monkeypatch.setattr(V, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(V, "BLOCK_ROWS", 14)
+    r = np.random.default_rng(4)
+    x = [[1, 0, 0]] * 30 + [list(v) for v in np.array([0, 1, 0]) + r.normal(size=(30, 3)) / 50] + [list(v) for v in r.normal(size=(20, 3))] + [[0, 0, 0]] * 2
+    x = [x[i] for i in r.permutation(len(x))]
+    u = np.array([np.array(v) / (np.linalg.norm(v) or 1) for v in x])
+    near = np.round(u @ u.T, 6) > 0.92
+    np.fill_diagonal(near, False)
+    stay = []
+    for i in range(len(x)):
+        if not any(near[i, j] for j in stay):
+            stay.append(i)
+    items = vecs(spark, enumerate(x))
+    kept, report = dedup.deduplicate(items, 0.92)
+    assert sorted(q.id for q in kept.collect()) == stay
+    assert report.first().duplicates_removed == len(x) - len(stay)
+    edges = [(q.src, q.dst) for q in dedup.duplicate_edges(items, 0.92).collect()]
+    assert sorted(edges) == [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if near[i, j]]
+    want = {i: (near[i].sum(), i in stay) for i in range(len(x))}
+    classes = dedup.vector_classes(items)
+    first = items.join(classes.where("id = class_id").select("id"), "id", "left_semi")
+    assert {q.id: (q.n_links, q.kept) for q in dedup.item_links(items, dedup.duplicate_edges(first), classes).collect()} == want
+    assert dedup.deduplicate(items, 1.0)[0].count() == len(x)
+
+
 def test_links_and_copies(spark):
     items = vecs(spark, [(k, [1, k]) for k in range(4)])
     edges = spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")

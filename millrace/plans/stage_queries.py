@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import PipelineConfig
 from ..functions import text as T
 from ..functions.vectors import norm
 from ..operators import generation, retrieval, scenarios, scoring
@@ -92,10 +93,11 @@ def rubric_scores(spark, sf):
 
 @register("advanced_metrics")
 def advanced_metrics(spark, sf):
-    """Claims, precision, recall and relevancy of an exact tenth, noise for a tenth of these."""
-    chosen = scoring.exact_sample(_in_context(spark, sf), "triple_id", 0.1)
+    """Claims, precision, recall and relevancy of the pipeline's exact share, noise for its rate of these."""
+    c = PipelineConfig()
+    chosen = scoring.exact_sample(_in_context(spark, sf), "triple_id", c.metric_sample_share)
     other = chunks(spark, sf).agg(F.max_by("page_content", "chunk_id").alias("noise_chunk"))
-    noisy = scoring.bernoulli_sample(chosen, "triple_id", 0.1, seed=2).select("triple_id").crossJoin(F.broadcast(other))
+    noisy = scoring.bernoulli_sample(chosen, "triple_id", c.noise_sample_rate, seed=2).select("triple_id").crossJoin(F.broadcast(other))
     out = generation.advanced_metrics(chosen, OfflineModel, noise=noisy)
     return out.select("triple_id", "claim_faithfulness", "context_precision", "context_recall", "answer_relevancy", "noise_sensitivity", "answer_changed")
 

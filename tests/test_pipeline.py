@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.config import PipelineConfig
 from millrace.operators.models import CallPolicy, OfflineModel, reuse_embeddings
@@ -74,3 +75,22 @@ def test_only_missing_vectors_are_asked_for(spark):
     df = spark.createDataFrame([(1, "abc", [1.0]), (2, "def", None), (3, None, None)], "k int, t string, v array<double>")
     got = {r.k: r.v for r in reuse_embeddings(df, "t", "v", OfflineModel).collect()}
     assert got[1] == [1.0] and len(got[2]) == 64 and got[3] is None
+
+
+def test_advanced_metrics_query_measures_the_configured_share(spark, monkeypatch):
+    from millrace.operators import generation
+    from millrace.plans import stage_queries as Q
+
+    rows = spark.range(1000).withColumnRenamed("id", "triple_id").withColumn("page_content", F.lit("text")).withColumn("chunk_id", F.col("triple_id"))
+    seen = {}
+
+    def measured(chosen, client, noise):
+        seen.update(chosen=chosen.count(), noisy=noise.count())
+        names = ["claim_faithfulness", "context_precision", "context_recall", "answer_relevancy", "noise_sensitivity", "answer_changed"]
+        return chosen.select("triple_id", *(F.lit(0.0).alias(n) for n in names))
+
+    monkeypatch.setattr(Q, "_in_context", lambda spark, sf: rows)
+    monkeypatch.setattr(Q, "chunks", lambda spark, sf: rows)
+    monkeypatch.setattr(generation, "advanced_metrics", measured)
+    assert Q.advanced_metrics(spark, "").count() == 300
+    assert seen["chosen"] == 300 and 10 <= seen["noisy"] <= 60

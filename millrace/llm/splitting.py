@@ -88,7 +88,7 @@ def split_text(text: str, limit: int = 3000, overlap: int = 200, reach: float =
         if chosen:
             break
     if not chosen:
-        chosen = _greedy(cuts, n, limit)
+        chosen = _greedy(cuts, n, limit, overlap)
     kinds = dict(zip(cuts, strength))
     pieces, start = [], 0
     for end in [*chosen, n]:
@@ -115,16 +115,23 @@ def _snap(cuts: list[int], strength: list[int], n: int, count: int, limit: int,
     return picked if n - (last - overlap) <= limit else None
 
 
-def _greedy(cuts: list[int], n: int, limit: int) -> list[int]:
-    """Furthest boundary within the limit, again and again; the overlap takes what room is left."""
+def _greedy(cuts: list[int], n: int, limit: int, overlap: int) -> list[int]:
+    """Furthest boundary that leaves room for the overlap, again and again; where there is none, the
+    furthest within the limit, and the overlap takes what room is left."""
     picked, last = [], 0
-    while n - last > limit:
-        k = bisect_right(cuts, last + limit) - 1
+    while True:
+        room = limit - overlap if last else limit
+        if n - last <= room:
+            return picked
+        k = bisect_right(cuts, last + room) - 1
+        if k < 0 or cuts[k] <= last:
+            if n - last <= limit:
+                return picked
+            k = bisect_right(cuts, last + limit) - 1
         if k < 0 or cuts[k] <= last:
             k = bisect_left(cuts, last + 1)
         picked.append(cuts[k])
         last = cuts[k]
-    return picked
 
 
 def split_items(items: DataFrame, ident: str = "chunk_id", text: str = "page_content", limit: int = 3000, overlap: int = 200, with_text: bool = True) -> DataFrame:

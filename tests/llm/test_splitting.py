@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.splitting import cut_kinds, split_items, split_text
+from millrace.llm.splitting import boundaries, cut_kinds, split_items, split_text
 
 
 def check(text, limit, overlap):
@@ -44,6 +44,26 @@ def test_balanced_and_exact_overlap():
     assert {a.end - b.start for a, b in zip(pieces, pieces[1:])} == {200}
 
 
+def exact_where_possible(text, limit, overlap):
+    pieces = check(text, limit, overlap)
+    ends = [*boundaries(text, limit, overlap)[0], len(text)]
+    for a, b in zip(pieces, pieces[1:]):
+        if a.end - b.start < overlap and b.start > a.start + 1:
+            assert not any(a.end < e <= a.end - overlap + limit for e in ends)
+    return pieces
+
+
+def test_overlap_shrinks_only_without_a_boundary():
+    sentence = "s" * 98 + ". "
+    text = sentence * 10 + "x" * 5000 + ". " + sentence * 20
+    pieces = exact_where_possible(text, 3000, 200)
+    assert {a.end - b.start for a, b in zip(pieces, pieces[1:])} == {200}
+    r = random.Random(11)
+    for _ in range(300):
+        text = "".join("w" * r.choice([r.randint(1, 30), r.randint(90, 400)]) + r.choice([". ", "\n", "! "]) for _ in range(r.randint(3, 40)))
+        exact_where_possible(text, 120, 20)
+
+
 def test_stronger_boundaries_win():
     text = "a b. " * 300 + "\n\n" + "a b. " * 300
     pieces = split_text(text, 2000, 100)

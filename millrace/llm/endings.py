@@ -50,17 +50,27 @@ class EndingModel:
         return float(1 / (1 + np.exp(-self.weights[features(text, self.known)].sum())))
 
 
-def train_endings(texts: list[str], epochs: int = 4, rate: float = 0.25, seed: int = 3) -> EndingModel:
+#: A word of the vocabulary comes in at least so many texts.
+LEAST_TEXTS = 2
+
+
+def vocabulary_words(text: str) -> set[str]:
+    """The words of a text; without a closing mark all but the last, which may be cut."""
+    found = [_norm(w) for w in _WORD.findall(text)]
+    return set(found if _END.search(text[-2:]) else found[:-1])
+
+
+def train_endings(texts: list[str], epochs: int = 4, rate: float = 0.25, seed: int = 3, known: set[str] | None = None, lexicon: dict[str, str] | None = None) -> EndingModel:
     """Self-supervised: sentences without their closing mark are finished, the same sentences cut at
-    a random place are not. ``texts`` is a bounded sample; texts without a closing mark only lend
-    their words to the vocabulary (all but the last, which may be cut)."""
+    a random place are not. ``texts`` is a bounded sample. The vocabulary and the lexicon are those
+    of the whole corpus where given, else of ``texts``."""
     rng = np.random.default_rng(seed)
-    counts: dict[str, int] = {}
-    for t in texts:
-        found = [_norm(w) for w in _WORD.findall(t)]
-        for w in set(found if _END.search(t[-2:]) else found[:-1]):
-            counts[w] = counts.get(w, 0) + 1
-    known = {w for w, n in counts.items() if n > 1}
+    if known is None:
+        counts: dict[str, int] = {}
+        for t in texts:
+            for w in vocabulary_words(t):
+                counts[w] = counts.get(w, 0) + 1
+        known = {w for w, n in counts.items() if n >= LEAST_TEXTS}
     rows: list[list[int]] = []
     labels: list[int] = []
     for t in texts:
@@ -92,4 +102,4 @@ def train_endings(texts: list[str], epochs: int = 4, rate: float = 0.25, seed: i
             g = (1 / (1 + np.exp(-z)) - y[order[s : s + 64]])[:, None] * mask
             np.add.at(seen, part[mask], g[mask] ** 2)
             np.add.at(weights, part[mask], -rate * g[mask] / np.sqrt(seen[part[mask]]))
-    return EndingModel(weights.astype(np.float32), known, learn_lexicon(texts))
+    return EndingModel(weights.astype(np.float32), known, learn_lexicon(texts) if lexicon is None else lexicon)

@@ -82,16 +82,27 @@ def evidence(text: str, lexicon: dict[str, str] | None = None) -> dict[str, floa
     return score
 
 
-def learn_lexicon(texts: list[str], least: int = 3, share: float = 0.9) -> dict[str, str]:
+#: A word of the lexicon comes in at least so many texts, and such a share of them in its language.
+LEAST_TEXTS, LEAST_SHARE = 3, 0.9
+
+
+def lexicon_words(text: str) -> tuple[str, set[str]]:
+    """The language that a text's function words leave no doubt of, and its words in lower case, so
+    that names stay out; no words where there is doubt."""
+    ranked = sorted(evidence(text).items(), key=lambda kv: -kv[1])[:2]
+    if ranked and ranked[0][1] >= 2 and (len(ranked) < 2 or ranked[0][1] >= 2 * ranked[1][1]):
+        return ranked[0][0], {w for w in _WORD.findall(text) if len(w) > 2 and w.islower()}
+    return "", set()
+
+
+def learn_lexicon(texts: list[str], least: int = LEAST_TEXTS, share: float = LEAST_SHARE) -> dict[str, str]:
     """Words that come nearly always in texts of one language, learned from the texts whose
-    function words leave no doubt. Only words in lower case count, so names stay out."""
+    function words leave no doubt."""
     seen: dict[str, Counter] = defaultdict(Counter)
     for t in texts:
-        ranked = sorted(evidence(t).items(), key=lambda kv: -kv[1])[:2]
-        if ranked and ranked[0][1] >= 2 and (len(ranked) < 2 or ranked[0][1] >= 2 * ranked[1][1]):
-            for w in set(_WORD.findall(t)):
-                if len(w) > 2 and w.islower():
-                    seen[w][ranked[0][0]] += 1
+        language, words = lexicon_words(t)
+        for w in words:
+            seen[w][language] += 1
     out = {}
     for w, by in seen.items():
         lang, n = by.most_common(1)[0]

@@ -11,14 +11,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .common import SPACE
-from .endings import EndingModel, train_endings
-from .languages import evidence, other_language
+from .endings import LEAST_TEXTS, EndingModel, train_endings, vocabulary_words
+from .languages import LEAST_SHARE, evidence, lexicon_words, other_language
+from .languages import LEAST_TEXTS as LEAST_LEXICON_TEXTS
 from .refusals import is_refusal, likely_languages
 from .structure import dangling, overlap_bound, tiles
 
 #: Most texts that the model of endings is fitted on; drawn by a hash of the id.
 MAX_TRAINING_TEXTS = 20_000
+#: Most words of the vocabulary, and of the lexicon, that are broadcast; the most frequent ones.
+MAX_WORDS = 500_000
+#: Most counts that a task holds before it passes them on.
+MAX_COUNTS = 200_000
 #: A copy covers so much of its question, and its question so much of it.
 COPY_OF_QUESTION, COPY_OF_ANSWER = 0.8, 0.75
 
@@ -124,14 +130,44 @@ def defect(question: str | None, answer: str | None, model: EndingModel) -> str
     return "truncated" if is_truncated(answer, model) else None
 
 
+def corpus_words(triples: DataFrame) -> tuple[set[str], dict[str, str]]:
+    """The vocabulary and the lexicon of all answers and follow-ups; texts are counted where they are
+    read, words and counts travel."""
+    texts = triples.select(F.explode(F.array("answer", "follow_up_a")).alias("text")).where("text is not null")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        frame = lambda: pd.DataFrame([(w, lang, n) for (w, lang), n in seen.items()], columns=["word", "language", "n"])
+        for b in batches:
+            for t in b["text"]:
+                seen.update((w, "") for w in vocabulary_words(t))
+                language, words = lexicon_words(t)
+                seen.update((w, language) for w in words)
+                if len(seen) > MAX_COUNTS:
+                    yield frame()
+                    seen.clear()
+        if seen:
+            yield frame()
+
+    counted = texts.mapInPandas(count, "word string, language string, n long").groupBy("word", "language").agg(F.sum("n").alias("n"))
+    counted = durable(counted, "words")
+    common = counted.where((F.col("language") == "") & (F.col("n") >= LEAST_TEXTS)).orderBy(F.desc("n"), "word").limit(MAX_WORDS)
+    by_word = counted.where("language <> ''").groupBy("word").agg(F.max_by("language", "n").alias("language"), F.max("n").alias("n"), F.sum("n").alias("_all"))
+    own = by_word.where((F.col("n") >= LEAST_LEXICON_TEXTS) & (F.col("n") >= LEAST_SHARE * F.col("_all"))).orderBy(F.desc("n"), "word").limit(MAX_WORDS)
+    lexicon = own.select("word", "language").toPandas()
+    return set(common.select("word").toPandas()["word"]), dict(zip(lexicon["word"], lexicon["language"]))
+
+
 def fit_endings(triples: DataFrame, max_texts: int = MAX_TRAINING_TEXTS, seed: int = 9) -> EndingModel:
-    """The model of endings, from at most ``max_texts`` answers drawn by a hash of the triple's id."""
+    """The model of endings. Its weights are fitted on at most ``max_texts`` answers drawn by a hash of
+    the triple's id; its vocabulary and lexicon are counted over all answers and follow-ups."""
+    known, lexicon = corpus_words(triples)
     total = triples.count()
     draw = F.xxhash64("triple_id", F.lit(seed))
     share = min(1.0, 1.2 * max_texts / max(total, 1))
     some = triples.where(draw <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else triples
     some = some.select(draw.alias("_d"), "triple_id", "answer").where("answer is not null").orderBy("_d", "triple_id", "answer").limit(max_texts)
-    return train_endings(some.select("answer").toPandas()["answer"].tolist())
+    return train_endings(some.select("answer").toPandas()["answer"].tolist(), known=known, lexicon=lexicon)
 
 
 def broken_pairs(triples: DataFrame, model: EndingModel) -> DataFrame:

@@ -113,3 +113,15 @@ def test_frame(spark, model):
     got = {(r.triple_id, r.field, r.defect) for r in broken_pairs(df.unionByName(df), model).collect()}
     assert got == {(1, "answer", "empty"), (2, "follow_up_a", "empty"), (3, "answer", "empty"), (4, "answer", "refusal"), (6, "answer", "copy"), (8, "answer", "truncated")}
     assert broken_pairs(df.limit(0), fit_endings(df.limit(0))).count() == 0
+
+
+def test_words_are_counted_over_all_texts(spark):
+    letters = "abcdefghij"
+    rare = [f"zo{a}{b}k" for a in letters for b in letters]
+    schema = "triple_id long, answer string, follow_up_a string"
+    rows = [(k, f"The crew checks the {rare[k % 100]} and the valve.", None if k % 2 else f"It is the {rare[k % 100]}x that they have.") for k in range(300)]
+    model = fit_endings(spark.createDataFrame(rows, schema), max_texts=20)
+    assert set(rare) <= model.known and {model.lexicon.get(w) for w in rare} == {"en"}
+    assert {f"{rare[k]}x" for k in range(0, 100, 2)} <= model.known
+    once = fit_endings(spark.createDataFrame(rows[:100], schema), max_texts=20)
+    assert not set(rare) & once.known

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from millrace.llm.neighbours import IndexParameters, all_neighbours, footrule_closeness, nearest_pivots, similar_pairs
+from millrace.llm.neighbours import IndexParameters, Pivots, all_neighbours, footrule_closeness, similar_pairs, with_orders
 
 SCHEMA = "chunk_id int, embedding array<float>, similarity string, rank string"
 
@@ -50,9 +50,35 @@ def test_footrule_is_that_of_the_definition():
 
 def test_nearest_pivots_in_order():
     r = np.random.default_rng(2)
-    u, p = r.normal(size=(50, 16)), r.normal(size=(20, 16))
-    want = np.argsort(-(u @ p.T), axis=1, kind="stable")[:, :5]
-    assert (nearest_pivots(u, p, 5) == want).all()
+    u, p = r.normal(size=(50, 16)).astype(np.float32), r.normal(size=(20, 16)).astype(np.float32)
+    held = Pivots.of(p[:3], p)
+    want = np.argsort(-(u @ held.pivots.T), axis=1, kind="stable")[:, :5]
+    assert (held.orders(u, 3, 5) == want).all()
+    few = held.orders(u, 3, 24)
+    assert (np.sort(few[:, :20], 1) == np.arange(20)).all() and (few[:, 20:] == [-21, -22, -23, -24]).all()
+    part = held.orders(u, 1, 5)
+    home = np.argmax(u @ p[:3].T, 1)
+    assert all(held.starts[g] <= x < held.starts[g + 1] for g, row in zip(home, part) for x in row if x >= 0)
+
+
+def test_orders_by_regions_joined_or_broadcast(spark):
+    """Beyond the bound of the broadcast, orders come from a join and are the same lists of pivots."""
+    import pyspark.sql.functions as F
+
+    vectors = frame(spark, clustered(600, 30, 0.3, 9)).select("chunk_id", "embedding")
+    p = dict(vectors_per_pivot=10, region=12, looked=2, prefix=6)
+    sides = []
+    for bound in (1000, 10):
+        rows = with_orders(vectors, 600, IndexParameters(broadcast_pivots=bound, **p)).select("chunk_id", F.filter("places", lambda x: x >= 0).alias("o")).collect()
+        assert len(rows) == 600
+        sides.append({r.chunk_id: r.o for r in rows})
+    names = {}
+    for i, order in sides[0].items():
+        assert len(order) == len(sides[1][i])
+        for x, y in zip(order, sides[1][i]):
+            assert names.setdefault(x, y) == y
+    got = all_neighbours(vectors, IndexParameters(broadcast_pivots=10, **p))
+    assert got.count() == 6000
 
 
 @pytest.mark.parametrize("block", [4096, 60])

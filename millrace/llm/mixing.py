@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import hash_bucket, running_total
+from ..operators.ordering import running_total
 from ..session import durable
-from .common import strip, token_count
+from .common import hashed, strip, token_count
 
 SEED = 77
 #: Slices of virtual time in which the global order is sorted.
@@ -57,18 +57,18 @@ def shares(docs: DataFrame, targets: DataFrame, divisor: int = 2, max_sources: i
     return [Share(r["source"], r["w"], r["r"], r["available"] or 0, budget * r["w"] // 1000) for r in sorted(rows, key=lambda r: r["source"])], budget
 
 
-def closing_time(plan: list[Share], budget: int) -> tuple[float, int]:
-    """Virtual time at which the budget is spent, sum of min(weight x time, supply) = budget, and
-    the weight of the sources that still supply then (0: all run out before)."""
+def closing_time(plan: list[Share], budget: int) -> float:
+    """Virtual time at which the budget is spent: sum of min(weight x time, supply) = budget; when
+    all sources run out before, the time at which the last one does."""
     live = sorted((s for s in plan if s.weight and s.supply), key=lambda s: s.supply / s.weight)
     spent, weight, end = 0, sum(s.weight for s in live), 0.0
     for s in live:
         end = s.supply / s.weight
         if spent + weight * end >= budget:
-            return (budget - spent) / weight, weight
+            return (budget - spent) / weight
         spent += s.supply
         weight -= s.weight
-    return end, 0
+    return end
 
 
 def mix(docs: DataFrame, plan: list[Share], budget: int) -> DataFrame:
@@ -84,16 +84,15 @@ def mix(docs: DataFrame, plan: list[Share], budget: int) -> DataFrame:
     third of all rows is spread over its hash buckets, the global order over slices of time.
     """
     spark = docs.sparkSession
-    close, weight = closing_time(plan, budget)
     live = [s for s in plan if s.weight and s.supply]
-    # at the closing time each source lags its fluid share by less than a document, so the budget is
-    # spent in documents within this much longer; what finishes later can't be reached
+    # each source lags its fluid share by less than a document, so the budget is spent in documents
+    # when the fluid shares exceed it by one for each source; what finishes later can't be reached
     longest = docs.agg(F.coalesce(F.max("n_tokens"), F.lit(0)).alias("m")).first()["m"]
-    horizon = close + (2 * longest * (len(live) + 1) / weight if weight else 1.0)
+    horizon = closing_time(plan, budget + (len(live) + 1) * longest) * (1 + 1e-9)
     rows = [(s.source, s.weight, s.available, min(s.max_repeat, int(s.weight * horizon // s.available) + 1)) for s in live]
     rule = spark.createDataFrame(rows, "source string, _w long, _available long, _passes long")
     every = docs.where("n_tokens > 0").join(F.broadcast(rule), "source").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1)))
-    every = durable(every.withColumn("_h", F.xxhash64("doc_id", "pass", F.lit(SEED))).withColumn("_bucket", hash_bucket(F.col("_h"), 256)), "passes")
+    every = durable(every.withColumn("_h", hashed(SEED, F.col("doc_id"), F.col("pass"))).withColumn("_bucket", F.shiftright("_h", 52).cast("int")), "passes")
     own = running_total(every, ["source", "pass"], "_bucket", [F.col("_h"), F.col("doc_id")], "n_tokens", "_cum")
     timed = own.withColumn("finish", (F.col("_cum") + F.col("pass") * F.col("_available")) / F.col("_w"))
     timed = timed.where(F.col("finish") <= horizon).withColumn("_g", F.lit(0)).withColumn("_slice", F.floor(F.col("finish") / F.lit(max(horizon, 1e-9)) * SLICES).cast("int"))
@@ -106,12 +105,13 @@ def mix(docs: DataFrame, plan: list[Share], budget: int) -> DataFrame:
 def mix_report(mixed: DataFrame, plan: list[Share], budget: int) -> DataFrame:
     """Per source of the targets: tokens there, wanted and taken, actual share, and whether short.
 
-    ``short``: all its repeats together have fewer tokens than its share of the budget.
+    ``short``, by the mixed rows: the source was taken to its last token in every pass allowed, and
+    what was taken stays below its share of the budget.
     """
     spark = mixed.sparkSession
-    rows = [(s.source, s.weight, s.max_repeat, s.available, s.target, s.supply < s.target) for s in plan]
-    goal = spark.createDataFrame(rows, "source string, weight_permille long, max_repeat long, available long, target long, short boolean")
+    rows = [(s.source, s.weight, s.max_repeat, s.available, s.target, s.supply) for s in plan]
+    goal = spark.createDataFrame(rows, "source string, weight_permille long, max_repeat long, available long, target long, _supply long")
     taken = mixed.groupBy("source").agg(F.sum("n_tokens").alias("taken"), F.count("*").alias("n_records"), (F.max("pass") + 1).alias("n_passes"))
     out = F.broadcast(goal).join(taken, "source", "left")
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("taken", "n_records", "n_passes")]
-    return out.select("source", "weight_permille", "max_repeat", "available", "target", *zero, F.round(1000.0 * F.coalesce("taken", F.lit(0)) / max(budget, 1), 3).alias("actual_permille"), "short")
+    return out.select("source", "weight_permille", "max_repeat", "available", "target", *zero, F.round(1000.0 * F.coalesce("taken", F.lit(0)) / max(budget, 1), 3).alias("actual_permille"), ((F.coalesce("taken", F.lit(0)) >= F.col("_supply")) & (F.coalesce("taken", F.lit(0)) < F.col("target"))).alias("short"))

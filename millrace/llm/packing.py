@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,32 +16,52 @@ from ..operators.ordering import hash_bucket, running_total
 from ..session import durable
 from .common import token_count
 
-#: Most distinct lengths that the solver works with; longer capacities are measured in coarser steps.
+#: Cells that the solver sorts lengths into: a combination is enumerated over cells, and filled with
+#: real lengths.
 GRID = 512
-#: Texts in one combination that the solver may propose. Residuals may go deeper.
-DEPTH = 3
+#: Widest window under the capacity, as a share of it, in which combinations are looked for.
+WINDOW = 8
 
 
-def combinations(capacity: int, lengths: np.ndarray, window: int = 0) -> np.ndarray:
-    """All multisets of up to three of ``lengths`` whose sum lies in [capacity - window, capacity].
+def combinations(capacity: int, lengths: np.ndarray, window: int = 0, least: int = 0, rare: np.ndarray | None = None) -> np.ndarray:
+    """All multisets of up to three of ``lengths`` whose sum lies in [capacity - window, capacity -
+    least]; with ``rare`` (flags by length) those that hold one so marked.
 
     Rows are descending, padded with 0. With the sum fixed there are about capacity²/12 of them.
     """
     have = np.zeros(capacity + 1, bool)
     have[lengths] = True
     ls = np.flatnonzero(have)
-    found = [np.stack([ls[ls >= capacity - window], *[np.zeros((ls >= capacity - window).sum(), int)] * 2], 1)]
-    for total in range(max(1, capacity - window), capacity + 1):
+    found = []
+    for total in range(max(1, capacity - window), capacity - least + 1):
+        one = np.array([total] if have[total] else [], int)
         rest = total - ls
         two = ls[(rest > 0) & (rest <= ls) & have[np.clip(rest, 0, capacity)]]
-        found.append(np.stack([two, total - two, np.zeros_like(two)], 1))
         a, b = np.meshgrid(ls, ls, indexing="ij")
         c = total - a - b
         ok = (a >= b) & (b >= c) & (c > 0)
         a, b, c = a[ok], b[ok], c[ok]
         ok = have[c]
-        found.append(np.stack([a[ok], b[ok], c[ok]], 1))
-    return np.concatenate(found).astype(np.int64)
+        found += [np.stack([one, 0 * one, 0 * one], 1), np.stack([two, total - two, 0 * two], 1), np.stack([a[ok], b[ok], c[ok]], 1)]
+    out = np.concatenate(found).astype(np.int64) if found else np.zeros((0, 3), np.int64)
+    return out if rare is None else out[rare[out].any(1)]
+
+
+def covering(capacity: int, lengths: np.ndarray) -> np.ndarray:
+    """Exact fills, and for lengths that come in none, fills of the narrowest window that they come
+    in (doubled until every length is covered or the window is a ``WINDOW``-th of the capacity)."""
+    combos = combinations(capacity, lengths)
+    window = 0
+    while window < capacity // WINDOW:
+        rare = np.zeros(capacity + 1, bool)
+        rare[lengths] = True
+        rare[combos] = False
+        if not rare.any():
+            break
+        wider = min(max(1, 2 * window), capacity // WINDOW)
+        combos = np.concatenate([combos, combinations(capacity, lengths, wider, window + 1, rare)])
+        window = wider
+    return combos
 
 
 def nonnegative_counts(combos: np.ndarray, histogram: np.ndarray, weight: np.ndarray, rounds: int = 60, block: int = 48) -> np.ndarray:
@@ -143,43 +164,69 @@ class Packing:
         return self.base[k] + (slot - start) // self.per[k]
 
 
-def plan_containers(histogram: np.ndarray, capacity: int) -> Packing:
-    """Solve, round down, pack what is left by best fit; every item of the histogram has a slot."""
-    unit = -(-capacity // GRID)
-    grid = capacity // unit
-    coarse = np.zeros(grid + 1)
-    up = np.minimum(-(-np.arange(capacity + 1) // unit), grid)
-    fits = -(-np.arange(capacity + 1) // unit) <= grid
-    np.add.at(coarse, up[fits], histogram[fits])
-    coarse[0] = 0
-    combos = combinations(grid, np.flatnonzero(coarse))
-    weight = np.sqrt(np.arange(grid + 1) / grid) + 0.1
-    x = nonnegative_counts(combos, coarse, weight)
+def solved(histogram: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns by least squares: solve on the cells, round down, fill with real lengths, pack what
+    is left by best fit.
+
+    A cell holds the lengths around a multiple of capacity / ``GRID``. All but the last item of a
+    combination are the longest lengths left in their cells; the last one is the longest that still
+    fits, of whatever cell, so rounding to cells costs no room.
+    """
+    cells = min(GRID, capacity)
+    lengths = np.arange(capacity + 1)
+    cell = np.clip(np.rint(lengths * cells / capacity).astype(int), 1, cells)
+    coarse = np.bincount(cell[1:], histogram[1:], cells + 1)
+    combos = covering(cells, np.flatnonzero(coarse))
+    x = nonnegative_counts(combos, coarse, np.sqrt(np.arange(cells + 1) / cells) + 0.1)
     remaining = histogram.astype(np.int64).copy()
+    remaining[0] = 0
+    alive = [int(v) for v in np.flatnonzero(remaining)]
+    first = np.searchsorted(cell[1:], np.arange(cells + 2)) + 1  # lengths of cell g: first[g] .. first[g + 1] - 1
+    slack = max(1, capacity // cells)
     patterns: list[tuple[dict[int, int], int]] = []
-    members = defaultdict(list)
-    for length in np.flatnonzero(histogram):
-        members[int(up[length])].append(int(length))
+
+    def longest(upto: int, need: dict[int, int]) -> int:
+        k = bisect_right(alive, upto) - 1
+        while k >= 0 and remaining[alive[k]] <= need.get(alive[k], 0):
+            k -= 1
+        return alive[k] if k >= 0 else 0
+
     for k in np.argsort(-x, kind="stable"):
         count = int(np.floor(x[k] + 1e-9))
         if count < 1:
             break
+        parts = combos[k][combos[k] > 0]
+        waste = int((cells - parts.sum()) * capacity // cells) + slack
         while count > 0:
             need: dict[int, int] = {}
-            for g in combos[k][combos[k] > 0]:
-                real = next((v for v in reversed(members[int(g)]) if remaining[v] > need.get(v, 0)), None)
-                if real is None:
-                    need = {}
+            room = capacity
+            for g in parts[:-1]:
+                real = longest(min(room, int(first[g + 1]) - 1), need)
+                if real < first[g]:
                     break
                 need[real] = need.get(real, 0) + 1
-            if not need:
+                room -= real
+            else:
+                real = longest(room, need)
+                if real and room - real <= waste:
+                    need[real] = need.get(real, 0) + 1
+                    room -= real
+            if sum(need.values()) < len(parts):
                 break
             take = min([count, *(int(remaining[v]) // n for v, n in need.items())])
             for v, n in need.items():
                 remaining[v] -= take * n
-            patterns.append((dict(need), take))
+                if not remaining[v]:
+                    del alive[bisect_left(alive, v)]
+            patterns.append((need, take))
             count -= take
-    patterns += best_fit(remaining, capacity)
+    return patterns + best_fit(remaining, capacity)
+
+
+def plan_containers(histogram: np.ndarray, capacity: int) -> Packing:
+    """Every item of the histogram has a slot: by least squares, or by best fit alone in the rare
+    case that this takes fewer containers."""
+    patterns = min(solved(histogram, capacity), best_fit(histogram.astype(np.int64), capacity), key=lambda p: sum(n for _, n in p))
     slots = defaultdict(list)
     base = 0
     for held, count in patterns:
@@ -250,7 +297,9 @@ def pack(sizes: DataFrame, capacity: int = 512) -> tuple[DataFrame, Packing]:
 
 
 def packing_report(assigned: DataFrame, capacity: int = 512) -> DataFrame:
-    """One row: items, containers, tokens, share of room used, and the fewest containers possible."""
+    """One row: items, containers, tokens, the fullest container, containers over the capacity, the
+    fewest containers possible, and the share of room used."""
     per = assigned.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
-    out = per.agg(F.coalesce(F.sum("items"), F.lit(0).cast("long")).alias("n_items"), F.count("*").alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0).cast("long")).alias("n_tokens"), F.coalesce(F.max("used"), F.lit(0).cast("long")).alias("fullest"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    out = per.agg(zero(F.sum("items")).alias("n_items"), F.count("*").alias("n_containers"), zero(F.sum("used")).alias("n_tokens"), zero(F.max("used")).alias("fullest"), F.count_if(F.col("used") > capacity).alias("n_overfull"))
     return out.withColumn("fewest_possible", F.expr(f"(n_tokens + {capacity - 1}) div {capacity}")).withColumn("fill", F.round(F.col("n_tokens") / F.greatest(F.col("n_containers") * capacity, F.lit(1)), 4))

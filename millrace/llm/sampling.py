@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..operators.ordering import hash_bucket
 from ..session import durable
-from .common import label
+from .common import hashed, label
 
 KEYS = ["question_type", "difficulty"]
 #: Oversampling in standard deviations of the binomial count; a shortfall is topped up all the same.
 SIGMAS = 6.0
 SEED = 20_240_601
+#: Buckets that the accepted rows of a category are cut into.
+BUCKETS = 4_096
 
 
 def categorised(triples: DataFrame) -> DataFrame:
@@ -24,18 +25,18 @@ def categorised(triples: DataFrame) -> DataFrame:
 
     Labels are trimmed and in lower case, null or blank reads ``unknown``. Rows without a
     ``triple_id`` take no part; of rows repeating one the smallest pair of labels counts. ``u`` is
-    the triple's 64-bit hash, its place in the draw.
+    the triple's 60-bit digest, its place in the draw.
     """
     rows = triples.select(F.col("triple_id"), *(label(F.col(k)).alias(k) for k in KEYS)).where("triple_id is not null")
     one = rows.groupBy("triple_id").agg(F.min(F.struct(*KEYS)).alias("_k"))
-    return one.select("triple_id", *(F.col(f"_k.{k}").alias(k) for k in KEYS), F.xxhash64("triple_id", F.lit(SEED)).alias("u"))
+    return one.select("triple_id", *(F.col(f"_k.{k}").alias(k) for k in KEYS), hashed(SEED, F.col("triple_id")).alias("u"))
 
 
 def sample_plan(rows: DataFrame, targets: DataFrame, divisor: int = 5) -> DataFrame:
-    """Per row of ``targets``: what is there, needed, taken and lacking.
+    """Per row of ``targets``: what is there, needed and to be taken.
 
     The sample size is n div ``divisor``; ``needed`` is the larger of ``min_keep`` and
-    (size x target_permille) div 1000; ``deficit`` is what the category cannot supply.
+    (size x target_permille) div 1000.
     ``accept`` is the acceptance probability: the target-to-observed ratio with an allowance of
     ``SIGMAS`` deviations. Null in a target's numbers reads 0; targets of one category add up.
     """
@@ -45,10 +46,10 @@ def sample_plan(rows: DataFrame, targets: DataFrame, divisor: int = 5) -> DataFr
     size = counts.agg((F.coalesce(F.sum("n_available"), F.lit(0).cast("long"))).alias("n_all"))
     plan = goal.join(counts, KEYS, "left").crossJoin(size).withColumn("n_available", F.coalesce("n_available", F.lit(0).cast("long")))
     plan = plan.withColumn("needed", F.greatest("min_keep", F.expr(f"((n_all div {divisor}) * target_permille) div 1000")))
-    plan = plan.withColumn("n_taken", F.least("needed", "n_available")).withColumn("deficit", F.col("needed") - F.col("n_taken"))
+    plan = plan.withColumn("n_taken", F.least("needed", "n_available"))
     spare = F.col("n_taken") + SIGMAS * F.sqrt("n_taken") + SIGMAS
     accept = F.when(F.col("n_available") == 0, 0.0).otherwise(F.least(F.lit(1.0), spare / F.col("n_available")))
-    return plan.select(*KEYS, "target_permille", "min_keep", "n_available", "needed", "n_taken", "deficit", accept.alias("accept"))
+    return plan.select(*KEYS, "target_permille", "min_keep", "n_available", "needed", "n_taken", accept.alias("accept"))
 
 
 _RULE = StructType([*(StructField(k, StringType()) for k in KEYS), StructField("n_taken", LongType()), StructField("accept", DoubleType())])
@@ -74,9 +75,10 @@ def draw(rows: DataFrame, plan: DataFrame, max_targets: int = 100_000) -> DataFr
     done = None
     while True:
         table = spark.createDataFrame([(*k, n, p) for k, (n, p) in rules.items()], _RULE)
-        chance = (F.col("u") / F.lit(2.0**64)) + 0.5
+        chance = F.col("u") / F.lit(2.0**60)
         hit = durable(rows.join(F.broadcast(table), KEYS).where(chance < F.col("accept")), "accepted")
-        hit = hit.withColumn("_bucket", hash_bucket(F.col("u"), 4096))
+        # buckets cut the accepted range of the category, however small it is
+        hit = hit.withColumn("_bucket", F.least(F.floor(F.col("u") / F.lit(2.0**60) / F.col("accept") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
         held = hit.groupBy(*KEYS, "_bucket").agg(F.count("*").alias("_n"), F.first("n_taken").alias("n_taken"))
         upto = Window.partitionBy(*KEYS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
         held = held.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
@@ -97,10 +99,14 @@ def draw(rows: DataFrame, plan: DataFrame, max_targets: int = 100_000) -> DataFr
 
 
 def stratified_sample(triples: DataFrame, targets: DataFrame, divisor: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(sample, report). The report has one row per target category with its deficit."""
+    """(sample, report). The report has one row per target category: what was there, needed and
+    drawn, and the deficit, counted in the drawn rows."""
     rows = durable(categorised(triples), "categorised")
     plan = durable(sample_plan(rows, targets, divisor), "plan")
-    return draw(rows, plan), plan
+    sample = draw(rows, plan)
+    counts = sample.groupBy(*KEYS).agg(F.count("*").alias("n_drawn"))
+    report = plan.drop("accept", "n_taken").join(counts, KEYS, "left").withColumn("n_drawn", F.coalesce("n_drawn", F.lit(0).cast("long")))
+    return sample, report.withColumn("deficit", F.col("needed") - F.col("n_drawn"))
 
 
 def expected_shortfall(n: int, taken: int) -> float:

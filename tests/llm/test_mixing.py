@@ -74,10 +74,18 @@ def test_weights_hold_where_supply_allows(spark):
 def test_everything_runs_out(spark):
     df = build(spark, {"a": [5] * 10, "x": [5] * 90})
     mixed, report, plan, budget = run(spark, df, [("a", 1000, 2)])
-    assert closing_time(plan, budget)[1] == 0
+    assert closing_time(plan, budget) == closing_time(plan, 10 * budget) == 0.1
     assert report.first().taken == 100 and mixed.count() == 20
 
 
+def test_budget_is_spent_where_a_heavy_source_runs_out(spark):
+    df = build(spark, {"heavy": [40] * 45, "light": [40] * 200})
+    mixed, report, plan, budget = run(spark, df, [("heavy", 900, 1), ("light", 100, 1)])
+    assert budget - mixed.agg({"n_tokens": "sum"}).first()[0] < 40
+    got = {r.source: r for r in report.collect()}
+    assert got["heavy"].short and got["heavy"].taken == 1800 and not got["light"].short
+
+
 def test_empty_nulls_and_repeats(spark):
     targets = [("a", 1000, 2), (None, 5, 1), ("b", None, None)]
     mixed, report, _, budget = run(spark, spark.createDataFrame([], DOC), targets)

@@ -42,6 +42,26 @@ def test_shortfall_is_topped_up(spark):
     assert expected_shortfall(10_000, 500) < 1e-6
 
 
+def test_small_shares_are_spread_over_buckets(spark):
+    """Accepted rows are the lowest part of the range; buckets cut that part."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm import sampling
+
+    seen = []
+    true_durable = sampling.durable
+    sampling.durable = lambda df, label="t": seen.append(true_durable(df, label)) or seen[-1]
+    try:
+        rows = categorised(spark.range(200_000).select(F.col("id").alias("triple_id"), F.lit("a").alias("question_type"), F.lit("b").alias("difficulty")))
+        plan = spark.createDataFrame([("a", "b", 20, 0.00025)], "question_type string, difficulty string, n_taken long, accept double")
+        got = sorted(r.triple_id for r in draw(rows, plan).collect())
+    finally:
+        sampling.durable = true_durable
+    assert got == sorted(r.triple_id for r in rows.orderBy("u", "triple_id").limit(20).collect())
+    place = F.floor(F.col("u") / F.lit(2.0**60) / F.col("accept") * sampling.BUCKETS)
+    assert seen[0].select(place.alias("p")).distinct().count() > 0.8 * seen[0].count() > 20
+
+
 def test_empty_and_nulls(spark):
     targets = spark.createDataFrame([("a", "b", 1000, 3)], TARGET)
     sample, report = stratified_sample(spark.createDataFrame([], TRIPLE), targets)

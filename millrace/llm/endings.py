@@ -15,8 +15,12 @@ _END = re.compile(r"[.!?…](?=\s|$)")
 _SIZE = 1 << 17
 
 
+_DIGITS = re.compile(r"\d+")
+
+
 def _norm(token: str) -> str:
-    return re.sub(r"\d+", "#", token.lower())
+    """In lower case, numbers as 0."""
+    return _DIGITS.sub("0", token.lower())
 
 
 def _tail(text: str) -> list[str]:
@@ -33,7 +37,7 @@ def features(text: str, known: set[str]) -> list[int]:
         return [zlib.crc32(b"none") % _SIZE]
     w = [_norm(t) for t in tail]
     is_known = w[-1] in known
-    shape = ("C" if tail[-1][:1].isupper() else "c") + ("#" if "#" in w[-1] else "") + str(min(len(w[-1]), 4)) + ("k" if is_known else "u")
+    shape = ("C" if tail[-1][:1].isupper() else "c") + ("#" if "0" in w[-1] else "") + str(min(len(w[-1]), 4)) + ("k" if is_known else "u")
     before = w[-2] if len(w) > 1 else "^"
     names = [f"1{w[-1]}", f"2{before} {w[-1]}", f"3{' '.join(w[-3:])}", f"4{' '.join(w[-4:])}", f"e{w[-1][-3:]}", f"f{w[-1][-2:]}", f"s{shape}", f"b{before}|{shape}", f"c{' '.join(w[-3:-1])}|{shape}", f"k{is_known}"]
     return [zlib.crc32(n.encode()) % _SIZE for n in names]
@@ -56,7 +60,7 @@ LEAST_TEXTS = 2
 
 def vocabulary_words(text: str) -> set[str]:
     """The words of a text; without a closing mark all but the last, which may be cut."""
-    found = [_norm(w) for w in _WORD.findall(text)]
+    found = _WORD.findall(_norm(text))
     return set(found if _END.search(text[-2:]) else found[:-1])
 
 

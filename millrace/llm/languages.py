@@ -30,16 +30,20 @@ _LETTERS = {
 _SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "THAI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK", "ARMENIAN", "GEORGIAN", "BENGALI", "TAMIL")
 #: A word of letters; parts of names after a hyphen and codes with digits are none.
 _WORD = re.compile(r"(?<![\w-])[^\W\d_]+(?!\w*\d)")
+_LETTER = re.compile(r"[^\W\d_]")
+#: Beyond the Latin letters of Europe.
+_FAR = re.compile(r"[^\x00-\u024f]")
+_MARKED = re.compile(r"[^\x00-\x7f]")
 
 
-def _weights() -> dict[str, list[tuple[str, float]]]:
+def _weights() -> dict[str, tuple[tuple[str, float], ...]]:
     lists = {lang: set(words.split()) for lang, words in FUNCTION_WORDS.items()}
     shared = Counter(w for words in lists.values() for w in words)
     by: dict[str, list[tuple[str, float]]] = defaultdict(list)
     for lang, words in lists.items():
         for w in words:
             by[w].append((lang, 1.0 / shared[w]))
-    return dict(by)
+    return {w: tuple(held) for w, held in by.items()}
 
 
 _WEIGHTS = _weights()
@@ -54,8 +58,8 @@ def _script_of(char: str) -> str:
 
 def script(text: str) -> str | None:
     """The script of most letters; null without letters."""
-    if text.isascii():
-        return "LATIN" if any(c.isalpha() for c in text) else None
+    if not _FAR.search(text):
+        return "LATIN" if _LETTER.search(text) else None
     seen = Counter(_script_of(c) for c in text if c.isalpha())
     if not seen:
         return None
@@ -68,15 +72,15 @@ def evidence(text: str, lexicon: dict[str, str] | None = None) -> dict[str, floa
     gives to it; words two languages share count for each by half, and so on."""
     score: dict[str, float] = defaultdict(float)
     low = text.lower()
-    for w in _WORD.findall(low):
-        known = _WEIGHTS.get(w)
-        if known:
-            for lang, weight in known:
-                score[lang] += weight
-        elif lexicon and w in lexicon:
-            score[lexicon[w]] += 0.5
+    words = _WORD.findall(low)
+    for held in filter(None, map(_WEIGHTS.get, words)):
+        for lang, weight in held:
+            score[lang] += weight
+    if lexicon:
+        for lang, n in Counter(filter(None, map(lexicon.get, words))).items():
+            score[lang] += 0.5 * n
     if not low.isascii():
-        for c in low:
+        for c in _MARKED.findall(low):
             for lang in _MARKS.get(c, ()):
                 score[lang] += 0.6 / len(_MARKS[c])
     return score
@@ -95,6 +99,11 @@ def lexicon_words(text: str) -> tuple[str, set[str]]:
     return "", set()
 
 
+def lexicon_of(words: dict[str, str]) -> dict[str, str]:
+    """A lexicon without the function words, which have weights of their own."""
+    return {w: lang for w, lang in words.items() if w not in _WEIGHTS}
+
+
 def learn_lexicon(texts: list[str], least: int = LEAST_TEXTS, share: float = LEAST_SHARE) -> dict[str, str]:
     """Words that come nearly always in texts of one language, learned from the texts whose
     function words leave no doubt."""
@@ -108,7 +117,7 @@ def learn_lexicon(texts: list[str], least: int = LEAST_TEXTS, share: float = LEA
         lang, n = by.most_common(1)[0]
         if n >= least and n >= share * sum(by.values()):
             out[w] = lang
-    return out
+    return lexicon_of(out)
 
 
 def other_language(question: str, answer: str, lexicon: dict[str, str] | None = None, given: dict[str, float] | None = None) -> bool:

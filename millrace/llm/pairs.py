@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 from .common import SPACE
 from .endings import LEAST_TEXTS, EndingModel, train_endings, vocabulary_words
-from .languages import LEAST_SHARE, evidence, lexicon_words, other_language
+from .languages import LEAST_SHARE, evidence, lexicon_of, lexicon_words, other_language
 from .languages import LEAST_TEXTS as LEAST_LEXICON_TEXTS
 from .refusals import is_refusal, likely_languages
 from .structure import dangling, overlap_bound, tiles
@@ -29,12 +29,14 @@ MAX_COUNTS = 200_000
 COPY_OF_QUESTION, COPY_OF_ANSWER = 0.8, 0.75
 
 #: What stands for no content, in lower case, without marks at its ends.
-PLACEHOLDERS = frozenset(
-    "none null nil nan n/a na n.a tbd tba tbc todo empty blank undefined missing no answer|no response|not available|not applicable|no content|no data|to be done|"
-    "to be determined|answer|response|a|k.a|keine antwort|keine angabe|keine angaben|leer|antwort|néant|aucune|aucun|pas de réponse|vide|réponse|sans objet|s/o|"
-    "ninguna|ninguno|sin respuesta|vacío|respuesta|nada|no disponible|nessuno|vuoto|leeg|geen|brak".replace("none null nil nan n/a na n.a tbd tba tbc todo empty blank undefined missing ", "none|null|nil|nan|n/a|na|n.a|tbd|tba|tbc|todo|empty|blank|undefined|missing|").split("|")
-)
+PLACEHOLDERS = frozenset((
+    "none", "null", "nil", "nan", "n/a", "na", "n.a", "tbd", "tba", "tbc", "todo", "empty", "blank", "undefined", "missing", "no answer", "no response",
+    "not available", "not applicable", "no content", "no data", "to be done", "to be determined", "answer", "response", "a", "k.a", "keine antwort",
+    "keine angabe", "keine angaben", "leer", "antwort", "néant", "aucune", "aucun", "pas de réponse", "vide", "réponse", "sans objet", "s/o", "ninguna",
+    "ninguno", "sin respuesta", "vacío", "respuesta", "nada", "no disponible", "nessuno", "vuoto", "leeg", "geen", "brak",
+))
 _FENCE = re.compile(r"(```+|~~~+)[^\S\n]*\w*[^\S\n]*(\n|$)")
+_MARKED, _ALNUM = re.compile(r"[<&]|```|~~~"), re.compile(r"[^\W_]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&nbsp;|<!--.*?-->", re.S)
 _WORDS = re.compile(r"[^\W_]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -51,6 +53,8 @@ def is_empty(text: str | None) -> bool:
     """No letter or digit outside fences, tags and invisible characters, or a word for nothing."""
     if text is None:
         return True
+    if len(text) > 60 and not _MARKED.search(text):
+        return not _ALNUM.search(text)
     visible = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t") if not text.isascii() else text
     if _EDGES.sub("", visible.lower()) in PLACEHOLDERS:
         return True
@@ -77,14 +81,20 @@ def is_copy(question: str, answer: str) -> bool:
         if 2 * sum((a & b).values()) >= 0.88 * (sum(a.values()) + sum(b.values())):
             return True
     times = max(1, round(len(given) / len(asked)))
-    if times > 4:
-        return False
-    asked = asked * times
     # a second time must be as good as the first: an answer after the question often says much of it again
-    least = max(COPY_OF_QUESTION * len(asked), COPY_OF_ANSWER * len(given)) if times == 1 else 0.92 * max(len(asked), len(given))
-    if overlap_bound(asked, given) < least:
+    least = max(COPY_OF_QUESTION * len(asked), COPY_OF_ANSWER * len(given)) if times == 1 else 0.92 * max(times * len(asked), len(given))
+    its = set(asked)
+    if sum(w in its for w in given) < least:
         return False
-    covered, count = tiles(asked, given)
+    if times <= 4:
+        asked = asked * times
+        if overlap_bound(asked, given) < least:
+            return False
+        covered, count = tiles(asked, given)
+    else:  # one time after the other: tiling grows with the square of what it tiles
+        cuts = [len(given) * k // times for k in range(times + 1)]
+        parts = [tiles(asked, given[a:b]) for a, b in zip(cuts, cuts[1:])]
+        covered, count = (sum(x) for x in zip(*parts))
     return covered >= least and count <= 2 + 2 * times
 
 
@@ -136,14 +146,14 @@ def corpus_words(triples: DataFrame) -> tuple[set[str], dict[str, str]]:
     texts = triples.select(F.explode(F.array("answer", "follow_up_a")).alias("text")).where("text is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        frame = lambda: pd.DataFrame([(w, lang, n) for (w, lang), n in seen.items()], columns=["word", "language", "n"])
+        seen: dict[str, Counter] = defaultdict(Counter)
+        frame = lambda: pd.DataFrame([(w, lang, n) for lang, words in seen.items() for w, n in words.items()], columns=["word", "language", "n"])
         for b in batches:
             for t in b["text"]:
-                seen.update((w, "") for w in vocabulary_words(t))
+                seen[""].update(vocabulary_words(t))
                 language, words = lexicon_words(t)
-                seen.update((w, language) for w in words)
-                if len(seen) > MAX_COUNTS:
+                seen[language].update(words)
+                if len(seen[""]) > MAX_COUNTS:
                     yield frame()
                     seen.clear()
         if seen:
@@ -155,7 +165,7 @@ def corpus_words(triples: DataFrame) -> tuple[set[str], dict[str, str]]:
     by_word = counted.where("language <> ''").groupBy("word").agg(F.max_by("language", "n").alias("language"), F.max("n").alias("n"), F.sum("n").alias("_all"))
     own = by_word.where((F.col("n") >= LEAST_LEXICON_TEXTS) & (F.col("n") >= LEAST_SHARE * F.col("_all"))).orderBy(F.desc("n"), "word").limit(MAX_WORDS)
     lexicon = own.select("word", "language").toPandas()
-    return set(common.select("word").toPandas()["word"]), dict(zip(lexicon["word"], lexicon["language"]))
+    return set(common.select("word").toPandas()["word"]), lexicon_of(dict(zip(lexicon["word"], lexicon["language"])))
 
 
 def fit_endings(triples: DataFrame, max_texts: int = MAX_TRAINING_TEXTS, seed: int = 9) -> EndingModel:

@@ -83,7 +83,8 @@ def sentences(text: str) -> list[str]:
 
 def refuses(sentence: str, languages: tuple[str, ...] = tuple(GRAMMARS)) -> bool:
     """Whether a sentence is a refusal by a grammar of one of the languages."""
-    s = _OPENING.sub("", _QUOTED.sub(" ", sentence.translate(_APOS).lower()).strip(" \t*_#>-–—"))
+    plain = sentence if sentence.isascii() else sentence.translate(_APOS)
+    s = _OPENING.sub("", _QUOTED.sub(" ", plain.lower()).strip(" \t*_#>-–—"))
     for lang in languages:
         if lang == "en" and not _ENGLISH_TRIGGER.search(s):
             continue

@@ -13,6 +13,8 @@ _TOKEN = re.compile(
     r"(?P<fence>```+|~~~+)|(?P<comment><!--|-->)|(?P<tag></?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>)|(?P<bold>\*\*)|(?P<tick>`)|(?P<quote>\")"
     r"|(?P<open>[(\[{„«‚「（])|(?P<close>[)\]}”»」）])|(?P<curly>“)"
 )
+#: A text without any of these has no construct.
+_MARK = re.compile(r"[`~<>*\"()\[\]{}“”„«»‚「」（）]")
 _VOID = {"br", "hr", "img", "input", "meta", "link"}
 
 
@@ -24,6 +26,8 @@ def open_constructs(text: str) -> list[str]:
     the recovery from slips inside a text that goes on.
     """
     stack: list[str] = []
+    if not _MARK.search(text):
+        return stack
     for m in _TOKEN.finditer(text):
         kind, token = m.lastgroup, m.group()
         top = stack[-1] if stack else ""

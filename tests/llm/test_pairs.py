@@ -125,3 +125,49 @@ def test_words_are_counted_over_all_texts(spark):
     assert {f"{rare[k]}x" for k in range(0, 100, 2)} <= model.known
     once = fit_endings(spark.createDataFrame(rows[:100], schema), max_texts=20)
     assert not set(rare) & once.known
+
+
+# Wordings set down once, from no grammar and no table; the grammars are not to be fitted to them.
+HELD_OUT = {
+    "en": [
+        "I regret that this falls outside what I am able to discuss.", "That is something I must leave unanswered.", "The excerpts give no indication, so I will not speculate.",
+        "I'm unable to give you a reliable reply here.", "We do not have the details needed to respond.", "My apologies, but I can't assist with this one.", "It would be irresponsible of me to answer.",
+        "There is not enough in the passage for me to tell.", "I have to pass on this question.", "The document doesn't say.", "I do not possess that knowledge.", "Please understand that I cannot go further into this.",
+    ],
+    "de": [
+        "Dazu kann ich Ihnen leider nichts sagen.", "Diese Frage möchte ich nicht beantworten.", "Aus den vorliegenden Unterlagen geht das nicht hervor.", "Ich bin nicht befugt, darüber Auskunft zu geben.",
+        "Hierzu fehlen mir die nötigen Angaben.", "Das weiß ich nicht.", "Der Text enthält keine Angaben dazu.", "Leider ist mir das nicht bekannt.",
+    ],
+    "fr": [
+        "Je ne suis pas en mesure de vous répondre.", "Je regrette, mais je ne peux rien dire à ce sujet.", "Le document ne fournit aucune précision.", "Je n'ai pas connaissance de cette information.",
+        "Il m'est impossible de me prononcer.", "Désolé, cela dépasse mes compétences.", "Je préfère ne pas répondre.", "Les extraits ne permettent pas de conclure.",
+    ],
+    "es": [
+        "No estoy en condiciones de responder a eso.", "Lamento no poder darle una respuesta.", "El documento no lo menciona.", "No dispongo de esos datos.", "Prefiero no opinar sobre ese asunto.",
+        "Eso queda fuera de mi ámbito.", "No me es posible contestar.", "Los fragmentos no contienen esa información.",
+    ],
+}
+#: Answers that look a little like refusals.
+NOT_REFUSALS = [
+    "No, visitors may not enter the ward without a badge.", "The device cannot be opened while it is hot.", "Employees who are unable to attend must inform the supervisor by noon.", "Not before the seal has been checked.",
+    "Ohne Ausweis darf niemand das Lager betreten.", "Nein, die Frist kann nicht verlängert werden.", "Le service ne rembourse pas les frais de port.", "No se puede cancelar después del lunes.", "You should decline the offer in writing within ten days.",
+]
+
+
+def test_refusals_held_out_by_wording():
+    from millrace.llm.refusals import is_refusal
+
+    said = [t for ts in HELD_OUT.values() for t in ts]
+    missed = [t for t in said if not is_refusal(t)]
+    wrong = [t for t in NOT_REFUSALS if is_refusal(t)]
+    assert len(missed) <= 0.3 * len(said), missed  # 10 of 36 when first measured
+    assert len(wrong) <= 1, wrong
+
+
+def test_a_question_given_back_any_number_of_times():
+    asked = "What is the limit for oxygen in the east wing?"
+    for times in (1, 2, 4, 5, 6, 40):
+        assert is_copy(asked, " ".join([asked] * times))
+    assert is_copy(asked, " ".join([asked] * 7).replace("oxygen", "oxigen", 1))
+    assert not is_copy(asked, asked + " The limit is twelve litres an hour in the east wing, says the manual of the house.")
+    assert not is_copy(asked, " ".join([asked] * 5) + " It is twelve litres an hour, by the manual, and is checked each morning by the nurse on duty there.")

@@ -94,6 +94,15 @@ def chunk_by_vectors(sents: DataFrame, key: str, threshold: float = 0.75, least:
     return materialise(spans, key), mean_vectors(members, [key, "doc_chunk_id"], "_e")
 
 
+def markdown_headings(text: Column) -> Column:
+    """Headings of a text as ``array<struct<char_offset, heading_text, heading_level>>``. Offsets are
+    those of the lines, so a title that comes again elsewhere is no matter."""
+    lines = F.split(text, "\n")
+    at = lambda i: F.length(F.array_join(F.slice(lines, 1, i), "\n")) + F.when(i > 0, 1).otherwise(0)
+    marked = F.filter(F.transform(lines, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda e: e["s"].rlike("^#{1,6} "))
+    return F.transform(marked, lambda e: F.struct(at(e["i"]).alias("char_offset"), F.regexp_replace(e["s"], "^#+ ", "").alias("heading_text"), F.length(F.regexp_extract(e["s"], "^(#+)", 1)).alias("heading_level")))
+
+
 def heading_paths(chunks: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """Add ``heading_path`` and ``parent_section`` from the document's headings.
 

@@ -25,6 +25,12 @@ def hash_bucket(key: Column, buckets: int = BUCKETS) -> Column:
     return F.shiftrightunsigned(key.bitwiseXOR(F.lit(-(2**63))), 64 - (buckets.bit_length() - 1)).cast("int")
 
 
+def digest(seed: int, *keys: Column) -> Column:
+    """60 bits of a digest of the keys: a place in a draw that any engine can compute."""
+    text = F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys)))
+    return F.conv(F.substring(text, 1, 15), 16, 10).cast("long")
+
+
 def salted_key(key: Column, salts: int) -> Column:
     """A salt in [0, salts) derived from a row's own key, so that reruns agree."""
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import digest
+
 # Weights of the criteria.
 WEIGHTS = {"faithfulness": 0.30, "relevance": 0.25, "completeness": 0.20, "tone": 0.15, "follow_up_quality": 0.10}
 WEIGHTS_MULTIHOP = {
@@ -66,15 +68,13 @@ def criteria_averages(judged: DataFrame, scores: str, names: list[str]) -> DataF
 
 
 def exact_sample(df: DataFrame, key: str, share: float = 0.3, seed: int = 1) -> DataFrame:
-    """max(1, min(n, floor(n x share))) rows, those with the smallest seeded hashes.
+    """max(1, min(n, floor(n x share))) rows, those with the smallest seeded digests.
 
-    Hashes are counted in buckets, and only the bucket in which the last row lies is sorted.
+    Digests are counted in buckets, and only the bucket in which the last row lies is sorted.
     """
-    from .ordering import hash_bucket
-
     n = df.count()
     want = max(1, min(n, int(n * share)))
-    rows = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_b", hash_bucket(F.col("_h"), 4096))
+    rows = df.withColumn("_h", digest(seed, F.col(key))).withColumn("_b", F.shiftright("_h", 48))
     sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.join(sizes.withColumn("_before", upto - F.col("_n")), "_b")
@@ -85,8 +85,8 @@ def exact_sample(df: DataFrame, key: str, share: float = 0.3, seed: int = 1) ->
 
 
 def bernoulli_sample(df: DataFrame, key: str, rate: float = 0.1, seed: int = 1) -> DataFrame:
-    """Each row with the given chance, decided by its own hash."""
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(rate * 1_000_000))
+    """Each row with the given chance, decided by its own digest."""
+    return df.where(F.pmod(digest(seed, F.col(key)), F.lit(1_000_000)) < int(rate * 1_000_000))
 
 
 def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:

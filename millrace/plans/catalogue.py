@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import retrieval_queries, row_queries, run_queries, stage_queries, text_queries  # noqa: F401
+    from . import retrieval_queries, row_queries, run_queries, service_queries, stage_queries, text_queries  # noqa: F401
 
     return dict(_QUERIES)
 

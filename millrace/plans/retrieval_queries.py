@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import dedup, graph, retrieval
+from ..session import shared_dir
 from .catalogue import register, table
 from .text_queries import chunks
 
@@ -45,10 +48,11 @@ def band_pairs_top50(spark, sf):
 _EDGES = f"""{_NEAR}, edges AS (SELECT query_id AS src, item_id AS dst FROM ranked WHERE rank <= 9 AND similarity > 0.35 AND query_id < item_id)"""
 
 
-_GREEDY = f"""WITH RECURSIVE {_EDGES}, ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
-    walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone UNION ALL SELECT i.n, CASE WHEN list_contains(w.gone, i.vec_id) THEN w.gone ELSE
-      list_distinct(list_concat(w.gone, coalesce((SELECT list(dst) FROM edges WHERE src = i.vec_id), []))) END FROM walk w JOIN ids i ON i.n = w.n + 1),
-    stay AS (SELECT vec_id AS id FROM ids WHERE NOT list_contains((SELECT gone FROM walk ORDER BY n DESC LIMIT 1), vec_id))"""
+_GREEDY = f"""WITH RECURSIVE {_EDGES.replace("edges AS (", "edges AS MATERIALIZED (")}, adj AS MATERIALIZED (SELECT src, list(dst) AS d FROM edges GROUP BY src),
+    ids AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n, d FROM embeddings LEFT JOIN adj ON src = vec_id),
+    walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone UNION ALL SELECT i.n, CASE WHEN i.d IS NULL OR list_contains(w.gone, i.vec_id) THEN w.gone ELSE
+      list_distinct(list_concat(w.gone, i.d)) END FROM walk w JOIN ids i ON i.n = w.n + 1),
+    last AS MATERIALIZED (SELECT gone FROM walk ORDER BY n DESC LIMIT 1), stay AS (SELECT vec_id AS id FROM ids, last WHERE NOT list_contains(gone, vec_id))"""
 
 
 @register("near_dup_greedy", f"{_GREEDY} SELECT id FROM stay")
@@ -73,6 +77,13 @@ def dedup_preview(spark, sf):
     return dedup.pair_preview(dedup.duplicate_edges(vectors(spark, sf), 0.35, dedup.REFERENCE_NEIGHBOURS))
 
 
+@register("dedup_kept", f"{_GREEDY} SELECT id, round(embedding[1], 6) AS first FROM stay JOIN embeddings ON vec_id = id")
+def dedup_kept(spark, sf):
+    """The items that stay, with what they carry."""
+    kept = dedup.deduplicate(vectors(spark, sf), 0.35, dedup.REFERENCE_NEIGHBOURS)[0]
+    return kept.select("id", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
 @register("dedup_report", f"{_GREEDY} SELECT (SELECT count(*) FROM ids) AS before_dedup, count(*) AS after_dedup, (SELECT count(*) FROM ids) - count(*) AS duplicates_removed, 0.35::DOUBLE AS threshold FROM stay")
 def dedup_report(spark, sf):
     return dedup.deduplicate(vectors(spark, sf), 0.35, dedup.REFERENCE_NEIGHBOURS)[1]
@@ -117,7 +128,7 @@ _SECTIONS = r"""titles AS (SELECT DISTINCT parent_section AS qid, regexp_extract
 asked AS (SELECT qid, u AS term, count(*) AS qtf FROM (SELECT qid, unnest(t) AS u FROM titles) GROUP BY qid, u)"""
 
 
-def _corpus(spark, sf):
+def search_corpus(spark, sf):
     return chunks(spark, sf).select("chunk_id", "source_file", "page_content", T.tokenise(F.coalesce("page_content", F.lit(""))).alias("tokens"))
 
 
@@ -128,7 +139,7 @@ def _titles(spark, sf):
 
 @register("bm25_sections", f"WITH {_SECTIONS}, {_BM25} SELECT qid, chunk_id, round(score, 6) AS score, sparse_rank::INT AS sparse_rank FROM sparse")
 def bm25_sections(spark, sf):
-    scores = retrieval.bm25_scores(_titles(spark, sf), _corpus(spark, sf), "qid", "chunk_id")
+    scores = retrieval.bm25_scores(_titles(spark, sf), search_corpus(spark, sf), "qid", "chunk_id")
     return retrieval.sparse_ranks(scores, "qid", "chunk_id").withColumn("score", F.round("score", 6))
 
 
@@ -142,7 +153,7 @@ def bm25_questions(spark, sf):
     """The five best chunks for every twentieth question, with expanded queries, among all chunks."""
     asked = table(spark, sf, "qa_triples").where("question is not null and triple_id % 20 = 0").select(F.col("triple_id").alias("qid"), "question").distinct()
     asked = asked.select("qid", T.expand_query(F.col("question")).alias("tokens"))
-    scores = retrieval.bm25_scores(asked, _corpus(spark, sf), "qid", "chunk_id")
+    scores = retrieval.bm25_scores(asked, search_corpus(spark, sf), "qid", "chunk_id")
     return retrieval.sparse_ranks(scores, "qid", "chunk_id", 5).select("qid", "chunk_id", "sparse_rank")
 
 
@@ -156,8 +167,8 @@ fused AS (SELECT qid, chunk_id, dense_rank, sparse_rank, round(coalesce(0.6 / (6
 top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 5)"""
 
 
-def _fused(spark, sf):
-    titles, corpus = _titles(spark, sf), _corpus(spark, sf)
+def _fused(spark, sf, **weights):
+    titles, corpus = _titles(spark, sf), search_corpus(spark, sf)
     raw = table(spark, sf, "chunk_embeddings").where("size(embedding) = 64")
     good = ~F.exists("embedding", F.isnan) & F.exists("embedding", lambda x: x != 0)
     items = raw.where(good).dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("id"), "embedding")
@@ -165,7 +176,7 @@ def _fused(spark, sf):
     centre = V.mean_vectors(member, ["qid"], "embedding").withColumnRenamed("qid", "id")
     dense = V.exact_top_k(centre, items, 15).select(F.col("query_id").alias("qid"), F.col("item_id").alias("chunk_id"), F.col("rank").alias("dense_rank"))
     sparse = retrieval.sparse_ranks(retrieval.bm25_scores(titles, corpus, "qid", "chunk_id"), "qid", "chunk_id")
-    return retrieval.fuse(dense, sparse, "qid", "chunk_id"), corpus
+    return retrieval.fuse(dense, sparse, "qid", "chunk_id", **weights), corpus
 
 
 @register("hybrid_retrieval", f"WITH {_HYBRID} SELECT qid, chunk_id, dense_rank::INT AS dense_rank, sparse_rank::INT AS sparse_rank, rrf_score, rank::INT AS rank FROM top")
@@ -174,6 +185,15 @@ def hybrid_retrieval(spark, sf):
     return _fused(spark, sf)[0].select("qid", "chunk_id", "dense_rank", "sparse_rank", "rrf_score", "rank")
 
 
+_WEIGHED = _HYBRID.replace("coalesce(0.6 / (60 + dense_rank), 0) + coalesce(0.4 / (60 + sparse_rank), 0)", "coalesce(1.0 / (60 + sparse_rank), 0)")
+
+
+@register("hybrid_without_dense_weight", f"WITH {_WEIGHED} SELECT qid, chunk_id, rrf_score, rank::INT AS rank FROM top")
+def hybrid_without_dense_weight(spark, sf):
+    """A weight of 0 is honoured: dense finds take part with a score of 0."""
+    return _fused(spark, sf, dense_weight=0.0, sparse_weight=1.0)[0].select("qid", "chunk_id", "rrf_score", "rank")
+
+
 @register("retrieval_package", f"WITH {_HYBRID} SELECT qid, array_to_string(list(chunk_id ORDER BY rank), ',') AS ids, array_to_string(list(coalesce(source_file, '') ORDER BY rank), ',') AS sources, count(*)::INT AS n FROM top JOIN docs USING (chunk_id) GROUP BY qid")
 def retrieval_package(spark, sf):
     fused, corpus = _fused(spark, sf)
@@ -258,3 +278,24 @@ def node_edges(spark, sf):
     """All edges of one node."""
     n = nodes(spark, sf)
     return graph.node_edges(n, graph.node_by_id(n, 7).select("chunk_id")).drop("shared_properties")
+
+
+@register(
+    "multihop_pairs_by_strength",
+    f"""WITH {_GRAPH} SELECT e.*, a.source_file IS DISTINCT FROM b.source_file AS cross_document FROM edges e JOIN nodes a ON a.chunk_id = source_id JOIN nodes b ON b.chunk_id = target_id WHERE strength BETWEEN 0.4 AND 0.82
+    ORDER BY round(abs(strength - 0.61), 6), source_id, target_id, list_position(['{graph.ENTITY}', '{graph.KEYPHRASE}', '{graph.SECTION}'], relationship_type) LIMIT 50""",
+)
+def multihop_pairs_by_strength(spark, sf):
+    """Without preferring pairs across files: the nearest to the middle of the band first."""
+    return graph.multihop_pairs(nodes(spark, sf), prefer_cross=False).drop("shared_properties")
+
+
+@register("graph_stored", f"WITH {_SETS.format('entities')}, pairs AS ({_PAIRS.format('', graph.ENTITY)}) SELECT (SELECT count(*) FROM nodes) AS n_nodes, count(*) AS n_edges, sum(strength::DECIMAL(18,6))::DOUBLE AS total FROM pairs")
+def graph_stored(spark, sf):
+    """Nodes and edges between classes, saved and loaded."""
+    n = nodes(spark, sf)
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    graph.save_graph(n, graph.class_edges(graph.term_classes(n, "entities")[0], graph.ENTITY), path)
+    held, edges = graph.load_graph(spark, path)
+    total = edges.agg(F.count("*").alias("n_edges"), F.sum(F.col("strength").cast("decimal(18,6)")).cast("double").alias("total"))
+    return held.agg(F.count("*").alias("n_nodes")).crossJoin(total)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.text import title_label
 from ..operators import reporting, scenarios, scoring
+from ..session import shared_dir
+from ..sources import sheets
 from .catalogue import register, table
 
 CRITERIA = ["faithfulness", "relevance", "completeness", "tone", "follow_up_quality"]
@@ -77,13 +82,16 @@ def metric_summary(spark, sf):
     return scoring.metric_summary(triples(spark, sf).select("validation_scores.*"), ["faithfulness", "relevance"])
 
 
-@register("exact_sample", f"WITH {_ONE} SELECT greatest(1, floor(count(*) * 0.3))::BIGINT AS n_rows FROM t")
+DIGEST = lambda seed, key: f"('0x' || substr(md5('{seed}:' || {key}), 1, 15))::BIGINT"
+
+
+@register("exact_sample", f"WITH {_ONE} SELECT triple_id FROM t QUALIFY row_number() OVER (ORDER BY {DIGEST(1, 'triple_id')}, triple_id) <= greatest(1, floor((SELECT count(*) FROM t) * 0.3))")
 def exact_sample(spark, sf):
-    """The size of an exact 30 % sample drawn by hash; which rows is tested on a fixture."""
-    return scoring.exact_sample(triples(spark, sf), "triple_id", 0.3).agg(F.count("*").alias("n_rows"))
+    """An exact 30 % sample drawn by digest."""
+    return scoring.exact_sample(triples(spark, sf).select("triple_id"), "triple_id", 0.3)
 
 
-@register("bernoulli_sample")
+@register("bernoulli_sample", f"WITH {_ONE} SELECT triple_id FROM t WHERE {DIGEST(1, 'triple_id')} % 1000000 < 100000")
 def bernoulli_sample(spark, sf):
     return scoring.bernoulli_sample(triples(spark, sf), "triple_id").select("triple_id")
 
@@ -184,10 +192,50 @@ def sheet_summary(spark, sf):
     return reporting.summary_sheet(reporting.run_summary(triples(spark, sf)).drop("avg_quality_score"), "run_id")
 
 
-@register("export_json")
+@register(
+    "export_json",
+    """WITH one AS (SELECT * FROM qa_conversations QUALIFY row_number() OVER (PARTITION BY id ORDER BY recorded_at DESC) = 1)
+    SELECT id, array_to_string(list_transform(messages, lambda m: m.role || ': ' || m.content), chr(10)) AS said, metadata.source_file AS source_file, metadata.hop_count AS hop_count, coalesce(len(metadata.retrieval_details), -1)::INT AS n_details FROM one""",
+)
 def export_json(spark, sf):
-    """Each conversation as one line of JSON."""
-    return conversations(spark, sf).select(F.to_json(F.struct("id", "messages", "metadata")).alias("value"))
+    """Each conversation as one line of JSON, exported and read back."""
+    rows = conversations(spark, sf)
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    sheets.export_json(rows, path)
+    back = spark.read.schema(rows.schema).json(path)
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return back.select("id", said.alias("said"), "metadata.source_file", "metadata.hop_count", F.coalesce(F.size("metadata.retrieval_details"), F.lit(-1)).alias("n_details"))
+
+
+@register("export_sheet", f"WITH {_ONE}, s AS ({_SUMMARY}) SELECT run_id, metric, value FROM (UNPIVOT (SELECT run_id, total_triples, accepted, rejected FROM s) ON total_triples, accepted, rejected INTO NAME metric VALUE value)")
+def export_sheet(spark, sf):
+    """A sheet written as a folder of its own and read back."""
+    per_run = reporting.run_summary(triples(spark, sf)).select("run_id", "total_triples", "accepted", "rejected")
+    path = sheets.export_sheets({"Run Summary": per_run}, f"{shared_dir(spark)}/sheets-{uuid.uuid4().hex}", "csv")[0]
+    back = spark.read.schema(per_run.schema).option("header", "true").csv(path)
+    return back.select("run_id", F.explode(F.create_map(*(x for c in ("total_triples", "accepted", "rejected") for x in (F.lit(c), F.col(c))))).alias("metric", "value"))
+
+
+@register("scenario_texts", f"""WITH {_ONE}, p AS (SELECT triple_id, triple_id % 5 AS a, triple_id % 3 AS b, (triple_id * 379) % 900 AS p FROM t)
+  SELECT triple_id, 'Asked by: ' || [{", ".join(f"'{x}'" for x in scenarios.PERSONAS.values())}][(a + 1)::INT] || chr(10) || 'Persona: ' || ['{"','".join(scenarios.PERSONA_NAMES)}'][(a + 1)::INT] || chr(10) || 'Style: ' || [{", ".join(f"'{x}'" for x in scenarios.STYLES.values())}][(b + 1)::INT] || chr(10)
+    || 'Length: ' || [{", ".join(f"'{x}'" for x in scenarios.LENGTHS.values())}][(b + 1)::INT] || chr(10) || 'Kind: ' || CASE WHEN p < 250 THEN 'factual' WHEN p < 450 THEN 'explanatory' WHEN p < 600 THEN 'procedural' WHEN p < 750 THEN 'comparative' WHEN p < 850 THEN 'inferential' ELSE 'scenario' END AS text FROM p""")
+def scenario_texts(spark, sf):
+    """What a question writer is told."""
+    rows = scenarios.scenarios(triples(spark, sf).select("triple_id"), "triple_id")
+    return rows.select("triple_id", scenarios.instruction(F.col("persona"), F.col("query_style"), F.col("query_length"), F.col("target_type")).alias("text"))
+
+
+@register("scenarios_allowed", f"WITH {_ONE} SELECT triple_id, ['expert', 'curious_student'][(triple_id % 2 + 1)::INT] AS persona, ['{"','".join(scenarios.STYLE_NAMES)}'][(triple_id % 3 + 1)::INT] AS query_style, 'long' AS query_length FROM t")
+def scenarios_allowed(spark, sf):
+    """Lists of wanted names: unknown ones are left out, a list without a known one allows all."""
+    rows = scenarios.scenarios(triples(spark, sf).select("triple_id"), "triple_id", ["expert", "nobody", "curious_student"], ["unheard"], ["long"])
+    return rows.drop("target_type")
+
+
+@register("title_labels", f"WITH {_ONE} SELECT DISTINCT question_type, array_to_string(list_transform(string_split(replace(question_type, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label FROM t WHERE question_type IS NOT NULL")
+def title_labels(spark, sf):
+    rows = table(spark, sf, "qa_triples").select("question_type").where("question_type is not null").distinct()
+    return rows.select("question_type", title_label(F.col("question_type")).alias("label"))
 
 
 @register("search_page", f"WITH {_ONE} SELECT triple_id, question FROM t WHERE lower(question) LIKE '%alarm%' OR lower(answer) LIKE '%alarm%' ORDER BY triple_id LIMIT 30 OFFSET 30")

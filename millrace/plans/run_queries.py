@@ -146,9 +146,12 @@ def _streamed(spark, sf, plan):
     # a pattern: a stream takes a folder or a pattern, and the table may be a single file
     source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
     name = f"stream_{uuid.uuid4().hex}"
-    query = plan(source).writeStream.outputMode("complete").format("memory").queryName(name)
-    query.option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    place = f"{shared_dir(spark)}/{name}"
+    out = plan(source)
+    # a complete result replaces the last one; it stays in the shared folder, not in the driver
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/result")
+    out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/result")
 
 
 @register("event_windows_streamed", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -164,7 +167,11 @@ def run_states_streamed(spark, sf):
     return _streamed(spark, sf, lambda e: progress.run_states(_progress_of(e)))
 
 
-@register("progress_lines")
+@register(
+    "progress_lines",
+    """WITH e AS (SELECT user_id::VARCHAR AS run_id, ts, CASE event_type WHEN 'view' THEN 'phase_complete' WHEN 'purchase' THEN 'pipeline_complete' WHEN 'error' THEN 'pipeline_failed' ELSE 'log' END AS type, event_id % 7 + 1 AS p FROM events)
+    SELECT run_id, ts::TIMESTAMP AS ts, 'data: {"type":"' || type || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","run_id":"' || run_id || '","phase_number":' || p || ',"total_phases":7,"progress_pct":' || floor(p / 7 * 100)::INT || ',"level":"info"}' || chr(10) || chr(10) AS line FROM e""",
+)
 def progress_lines(spark, sf):
     """Events as lines of a server-sent stream."""
     e = _as_progress(spark, sf).withColumns({"phase": F.lit(None).cast("string"), "level": F.lit("info"), "message": F.lit(None).cast("string"), "details": F.lit(None).cast("string")})

@@ -132,18 +132,31 @@ def chunks_per_source(spark, sf):
 )
 def heading_paths(spark, sf):
     docs = table(spark, sf, "documents").where(F.col("text").contains("#"))
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^(#{1,6} [^\n]*)"), 1)).alias("h"))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_headings"), F.max(F.length(F.regexp_extract("h", "^(#+)", 1))).alias("deepest"), F.min(F.regexp_replace("h", "^#+ ", "")).alias("first_heading"))
+    found = docs.select("doc_id", F.explode(chunking.markdown_headings(F.col("text"))).alias("h"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_headings"), F.max("h.heading_level").alias("deepest"), F.min("h.heading_text").alias("first_heading"))
 
 
-@register("chunk_heading_context")
+_HEADS = r"""lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS no FROM lines),
+placed AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no) - length(line) - 1)::BIGINT AS off FROM numbered),
+heads AS (SELECT doc_id, off, regexp_replace(line, '^#+ ', '') AS title, length(regexp_extract(line, '^#+')) AS lvl FROM placed WHERE regexp_matches(line, '^#{1,6} '))"""
+
+
+@register(
+    "chunk_heading_context",
+    f"""WITH RECURSIVE {_FOLD}, made AS ({_SPAN_TEXT}), {_HEADS},
+    spots AS (SELECT doc_id, doc_chunk_id, strpos(text, substr(page_content, 1, 100)) - 1 AS spot FROM made JOIN documents USING (doc_id)),
+    held AS (SELECT a.doc_id, a.doc_chunk_id, h.lvl, h.title FROM spots a JOIN heads h ON h.doc_id = a.doc_id AND a.spot >= 0 AND h.off <= a.spot
+      WHERE NOT EXISTS (SELECT 1 FROM heads g WHERE g.doc_id = h.doc_id AND g.off > h.off AND g.off <= a.spot AND g.lvl <= h.lvl)),
+    paths AS (SELECT doc_id, doc_chunk_id, array_to_string(list(title ORDER BY lvl), ' > ') AS heading_path, last(title ORDER BY lvl) AS parent_section FROM held GROUP BY ALL)
+    SELECT doc_id, doc_chunk_id, heading_path, parent_section FROM made LEFT JOIN paths USING (doc_id, doc_chunk_id)""",
+)
 def chunk_heading_context(spark, sf):
     """Heading path of each chunk cut from documents with markdown headings."""
     docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.col("text").alias("raw_text"))
-    lines = F.filter(F.split("raw_text", "\n"), lambda s: s.rlike("^#{1,6} "))
-    head = F.transform(lines, lambda h: F.struct((F.instr(F.col("raw_text"), h) - 1).alias("char_offset"), F.regexp_replace(h, "^#+ ", "").alias("heading_text"), F.length(F.regexp_extract(h, "^(#+)", 1)).alias("heading_level")))
     made = chunking.chunk_documents(docs, "doc_id", "raw_text")
-    return chunking.heading_paths(made, docs.withColumn("headings", head), "doc_id").select("doc_id", "doc_chunk_id", "heading_path", "parent_section")
+    out = chunking.heading_paths(made, docs.withColumn("headings", chunking.markdown_headings(F.col("raw_text"))), "doc_id")
+    return out.select("doc_id", "doc_chunk_id", F.array_join("heading_path", " > ").alias("heading_path"), "parent_section")
 
 
 @register(
@@ -196,3 +209,16 @@ def answer_prompts(spark, sf):
     rows = table(spark, sf, "qa_triples").select("triple_id", "question", F.col("source_chunk_id").alias("chunk_id")).distinct().join(chunks(spark, sf), "chunk_id")
     context = T.source_context(F.array(F.struct("source_file", F.substring("page_content", 1, 8000).alias("page_content"))))
     return rows.select("triple_id", T.prompt("Q: {question}\n{context}", question=F.col("question"), context=context).alias("prompt"))
+
+
+@register("human_sizes", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{:,.1f}', n_chars / 1024) || ' KB' ELSE format('{:,.1f}', n_chars / 1048576) || ' MB' END AS size FROM documents")
+def human_sizes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.human_bytes(F.col("n_chars")).alias("size"))
+
+
+@register("parse_failures", "SELECT count(text) AS n_good, count(*) - count(text) AS n_failed FROM documents")
+def parse_failures(spark, sf):
+    """Documents without a text are failures that stop nothing else."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("text").isNull(), "no text").alias("error"))
+    good, failed = chunking.split_failures(docs)
+    return good.agg(F.count("*").alias("n_good")).crossJoin(failed.agg(F.count("*").alias("n_failed")))

@@ -7,7 +7,6 @@ import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +22,15 @@ def percent(phase_number: Column, total: Column) -> Column:
 
 
 class ProgressLog:
-    """Writes the events of a run as JSON files into a folder that streams can follow."""
+    """Writes the events of a run as JSON files into a folder that streams can follow, on whatever
+    file system the folder's address names."""
 
-    def __init__(self, folder: str, run_id: str, total_phases: int = 7):
-        self.folder, self.run_id, self.total = Path(folder), run_id, total_phases
-        self.folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, folder: str, run_id: str, total_phases: int = 7, spark: SparkSession | None = None):
+        self.folder, self.run_id, self.total = str(folder).rstrip("/"), run_id, total_phases
+        sc = (spark or SparkSession.active()).sparkContext
+        self._path = sc._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(sc._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.folder))
 
     def emit(self, kind: str, **fields) -> None:
         if kind not in TYPES:
@@ -35,9 +38,11 @@ class ProgressLog:
         details = fields.pop("details", None)
         row = {"run_id": self.run_id, "type": kind, "ts": datetime.now(timezone.utc).isoformat(), "total_phases": self.total, "details": json.dumps(details) if details is not None else None} | fields
         name = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}.json"
-        part = self.folder / f".{name}"
-        part.write_text(json.dumps(row) + "\n")
-        part.rename(self.folder / name)  # a stream never sees half a file
+        part = self._path(f"{self.folder}/.{name}")
+        out = self._fs.create(part)
+        out.write((json.dumps(row) + "\n").encode())
+        out.close()
+        self._fs.rename(part, self._path(f"{self.folder}/{name}"))  # a stream never sees half a file
 
     def phase_start(self, phase: str, number: int) -> None:
         self.emit("phase_start", phase=phase, phase_number=number)

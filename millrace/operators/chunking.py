@@ -2,25 +2,69 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import jaccard, split_sentences, tokenise
+from ..functions.text import split_sentences
 from ..functions.vectors import mean_vectors
 from .ordering import BUCKETS, running_total
 
+_WORD = re.compile(r"\w+")
+
 
 def sentences(docs: DataFrame, key: str, text: str, longer_than: int = 20) -> DataFrame:
     """``(key, sent_idx, sentence)``; documents without a usable sentence have no rows."""
     return docs.select(key, F.posexplode(split_sentences(F.col(text), longer_than)).alias("sent_idx", "sentence"))
 
 
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of arrays, end to end, and where each row's begin and end; null is empty."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    return column.flatten(), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def lexical_similarities(sents: Column) -> Column:
-    """Word-set similarity of each sentence to the next, 6 decimals."""
-    sets = F.transform(sents, lambda s: F.array_distinct(tokenise(s)))
-    n = F.greatest(F.size(sents) - 1, F.lit(0))
-    return F.zip_with(F.slice(sets, 1, n), F.slice(sets, 2, n), lambda a, b: F.round(jaccard(a, b), 6))
+    """Word-set similarity of each sentence to the next, 6 decimals; 0 where one has no words.
+
+    Sets of words and the fold below are loops over the sentences of a document: as expressions they
+    run interpreted, so both work on Arrow batches, where the document is read.
+    """
+
+    @F.arrow_udf("array<double>")
+    def near(column: pa.Array) -> pa.Array:
+        values, ends = _lists(column)
+        words = [set(_WORD.findall(s.lower())) for s in values.to_pylist()]
+        out, upto = [], [0]
+        for a, b in zip(ends, ends[1:]):
+            for x, y in zip(words[a:b], words[a + 1 : b]):
+                both = len(x & y)
+                out.append(round(both / (len(x) + len(y) - both), 6) if both else 0.0)
+            upto.append(len(out))
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(out, pa.float64()))
+
+    return near(sents)
+
+
+def fold(lengths: list[int], similarities: list[float | None], threshold: float, least: int, most: int) -> list[tuple[int, int]]:
+    """First and last sentence of each chunk of one document; see ``fold_chunks``."""
+    out: list[tuple[int, int]] = []
+    start, size, held = 0, lengths[0] if lengths else 0, bool(lengths)
+    for i, (near, following) in enumerate(zip(similarities, lengths[1:])):
+        if held and near is not None and near < threshold and size >= least:
+            out.append((start, i))
+            start, size = i + 1, following
+            continue
+        size, held = (size + 1 + following if held else following), True
+        if size > most:
+            out.append((start, i + 1))
+            start, held = i + 2, False
+    return [*out, (start, len(lengths) - 1)] if held else out
 
 
 def fold_chunks(lengths: Column, similarities: Column, threshold: float = 0.75, least: int = 200, most: int = 3000) -> Column:
@@ -31,27 +75,19 @@ def fold_chunks(lengths: Column, similarities: Column, threshold: float = 0.75,
     characters ends with it. Lengths count the single spaces between sentences. What is left at the
     end is a chunk of whatever length. No sentences give an empty array.
     """
-    n = F.size(lengths)
-    empty = F.from_json(F.lit("[]"), "array<struct<a:int,b:int>>")
-    state = F.struct(empty.alias("done"), F.lit(0).alias("start"), F.coalesce(F.get(lengths, F.lit(0)), F.lit(0)).cast("int").alias("size"), F.lit(1).alias("held"))
-
-    def span(a: Column, b: Column) -> Column:
-        return F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
 
-    def step(s: Column, i: Column) -> Column:
-        nxt = F.get(lengths, i + 1).cast("int")
-        cut = (s["held"] > 0) & (F.get(similarities, i) < threshold) & (s["size"] >= least)
-        grown = F.when(s["held"] > 0, s["size"] + 1 + nxt).otherwise(nxt)
-        over = grown > most
-        restart = F.struct(F.concat(s["done"], span(s["start"], i)).alias("done"), (i + 1).cast("int").alias("start"), nxt.alias("size"), F.lit(1).alias("held"))
-        full = F.struct(F.concat(s["done"], span(s["start"], i + 1)).alias("done"), (i + 2).cast("int").alias("start"), F.lit(0).alias("size"), F.lit(0).alias("held"))
-        grow = F.struct(s["done"].alias("done"), s["start"].alias("start"), grown.cast("int").alias("size"), F.lit(1).alias("held"))
-        return F.when(cut, restart).when(over, full).otherwise(grow)
+    @F.arrow_udf("array<struct<a:int,b:int>>")
+    def spans(size: pa.Array, near: pa.Array) -> pa.Array:
+        (sizes, se), (nears, ne) = _lists(size), _lists(near)
+        sizes, nears = sizes.to_pylist(), nears.to_pylist()
+        found, upto = [], [0]
+        for a, b, c, d in zip(se, se[1:], ne, ne[1:]):
+            found += fold(sizes[a:b], nears[c:d], threshold, least, most)
+            upto.append(len(found))
+        first, last = (pa.array([x[k] for x in found], pa.int32()) for k in (0, 1))
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([first, last], ["a", "b"]))
 
-    steps = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(
-        steps, state, step, lambda s: F.when((s["held"] > 0) & (n > 0), F.concat(s["done"], span(s["start"], n - 1))).otherwise(s["done"])
-    )
+    return spans(lengths, similarities)
 
 
 def chunk_documents(docs: DataFrame, key: str, text: str, threshold: float = 0.1, least: int = 200, most: int = 3000) -> DataFrame:
@@ -62,9 +98,7 @@ def chunk_documents(docs: DataFrame, key: str, text: str, threshold: float = 0.1
     """
     rows = docs.select(key, split_sentences(F.col(text)).alias("_s")).where(F.size("_s") > 0)
     rows = rows.withColumn("_sim", lexical_similarities(F.col("_s"))).withColumn("_len", F.transform("_s", lambda s: F.length(s)))
-    # the arrays feed a fold; an exploded array keeps the optimiser from inlining them into its lambda
-    spans = rows.select(key, "_s", F.explode(F.array(F.struct("_len", "_sim"))).alias("_in"))
-    spans = spans.select(key, "_s", F.posexplode(fold_chunks(F.col("_in._len"), F.col("_in._sim"), threshold, least, most)).alias("doc_chunk_id", "_c"))
+    spans = rows.select(key, "_s", F.posexplode(fold_chunks(F.col("_len"), F.col("_sim"), threshold, least, most)).alias("doc_chunk_id", "_c"))
     return materialise(spans, key)
 
 
@@ -87,9 +121,7 @@ def chunk_by_vectors(sents: DataFrame, key: str, threshold: float = 0.75, least:
     packed = packed.select(key, F.transform("_p", lambda p: p["sentence"]).alias("_s"), F.transform("_p", lambda p: p["embedding"]).alias("_v"))
     n = F.greatest(F.size("_v") - 1, F.lit(0))
     packed = packed.withColumn("_sim", F.zip_with(F.slice("_v", 1, n), F.slice("_v", 2, n), lambda x, y: F.round(cosine(x, y), 6)))
-    inputs = F.explode(F.array(F.struct(F.transform("_s", lambda s: F.length(s)).alias("_len"), F.col("_sim")))).alias("_in")
-    spans = packed.select(key, "_s", "_v", inputs)
-    spans = spans.select(key, "_s", "_v", F.posexplode(fold_chunks(F.col("_in._len"), F.col("_in._sim"), threshold, least, most)).alias("doc_chunk_id", "_c"))
+    spans = packed.select(key, "_s", "_v", F.posexplode(fold_chunks(F.transform("_s", lambda s: F.length(s)), F.col("_sim"), threshold, least, most)).alias("doc_chunk_id", "_c"))
     members = spans.select(key, "doc_chunk_id", F.explode(F.slice("_v", F.col("_c.a") + 1, F.col("_c.b") - F.col("_c.a") + 1)).alias("_e"))
     return materialise(spans, key), mean_vectors(members, [key, "doc_chunk_id"], "_e")
 

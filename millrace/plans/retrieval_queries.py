@@ -129,7 +129,7 @@ asked AS (SELECT qid, u AS term, count(*) AS qtf FROM (SELECT qid, unnest(t) AS
 
 
 def search_corpus(spark, sf):
-    return chunks(spark, sf).select("chunk_id", "source_file", "page_content", T.tokenise(F.coalesce("page_content", F.lit(""))).alias("tokens"))
+    return chunks(spark, sf, "source_file", "page_content").select("chunk_id", "source_file", "page_content", T.tokenise(F.coalesce("page_content", F.lit(""))).alias("tokens"))
 
 
 def _titles(spark, sf):
@@ -172,7 +172,7 @@ def _fused(spark, sf, **weights):
     raw = table(spark, sf, "chunk_embeddings").where("size(embedding) = 64")
     good = ~F.exists("embedding", F.isnan) & F.exists("embedding", lambda x: x != 0)
     items = raw.where(good).dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("id"), "embedding")
-    member = chunks(spark, sf).where("parent_section is not null").select(F.col("parent_section").alias("qid"), F.col("chunk_id").alias("id")).join(items, "id")
+    member = chunks(spark, sf, "parent_section").where("parent_section is not null").select(F.col("parent_section").alias("qid"), F.col("chunk_id").alias("id")).join(items, "id")
     centre = V.mean_vectors(member, ["qid"], "embedding").withColumnRenamed("qid", "id")
     dense = V.exact_top_k(centre, items, 15).select(F.col("query_id").alias("qid"), F.col("item_id").alias("chunk_id"), F.col("rank").alias("dense_rank"))
     sparse = retrieval.sparse_ranks(retrieval.bm25_scores(titles, corpus, "qid", "chunk_id"), "qid", "chunk_id")

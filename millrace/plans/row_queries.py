@@ -21,10 +21,11 @@ _LAB = lambda c: f"coalesce(nullif(lower(regexp_replace({c}, '^\\s+|\\s+$', '',
 _CROSS = "coalesce(len(list_distinct(retrieved_sources)) > 1, false)"
 
 
-def triples(spark, sf):
-    """One row per triple, the latest delivery."""
+def triples(spark, sf, *columns):
+    """One row per triple, the latest delivery. Only the columns named are read and shuffled; all of
+    them, texts too, where none is."""
     rows = table(spark, sf, "qa_triples")
-    names = [c for c in rows.columns if c not in ("triple_id", "created_at")]
+    names = list(columns) or [c for c in rows.columns if c not in ("triple_id", "created_at")]
     best = rows.groupBy("triple_id").agg(F.max_by(F.struct(*names), "created_at").alias("_t"))
     return best.select("triple_id", "_t.*")
 
@@ -35,12 +36,12 @@ def triples(spark, sf):
 )
 def overall_score(spark, sf):
     score = scoring.overall_score(F.col("validation_scores"), F.col("question_type"), set(CRITERIA))
-    return triples(spark, sf).select("triple_id", F.round(score, 6).alias("overall"))
+    return triples(spark, sf, "validation_scores", "question_type").select("triple_id", F.round(score, 6).alias("overall"))
 
 
 @register("accept_reject", f"WITH {_ONE} SELECT triple_id, CASE WHEN coalesce({_S}, 0) >= 0.7 THEN 'accepted' WHEN coalesce({_S}, 0) >= 0.55 THEN 'borderline' ELSE 'rejected' END AS verdict FROM t")
 def accept_reject(spark, sf):
-    return triples(spark, sf).select("triple_id", scoring.verdict(F.col("quality_score")).alias("verdict"))
+    return triples(spark, sf, "quality_score").select("triple_id", scoring.verdict(F.col("quality_score")).alias("verdict"))
 
 
 @register(
@@ -50,7 +51,7 @@ def accept_reject(spark, sf):
 )
 def retried_scores(spark, sf):
     """A second judgement (the weighted criteria and a little more) of borderline answers only."""
-    t = triples(spark, sf)
+    t = triples(spark, sf, "quality_score", "validation_scores")
     border = t.where(scoring.verdict(F.col("quality_score")) == "borderline")
     again = border.select("triple_id", F.round(scoring.weighted(F.col("validation_scores"), scoring.WEIGHTS, set(CRITERIA)) + 0.05, 6).alias("quality_score"))
     out = scoring.apply_retries(t.select("triple_id", "quality_score"), again, "triple_id")
@@ -59,13 +60,13 @@ def retried_scores(spark, sf):
 
 @register("average_scores", f"WITH {_ONE} SELECT round(avg({_S}), 3) AS avg_first, round((sum({_S}) + sum(CASE WHEN {_S} >= 0.7 THEN {_S} END)) / (count({_S}) + count(CASE WHEN {_S} >= 0.7 THEN 1 END)), 3) AS avg_with_retries FROM t")
 def average_scores(spark, sf):
-    t = triples(spark, sf)
+    t = triples(spark, sf, "quality_score")
     return scoring.average_scores(t, t.where(scoring.verdict(F.col("quality_score")) == "accepted"))
 
 
 @register("criteria_averages", f"WITH {_ONE}, l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS criterion, {_C('validation_scores.' + n)} AS s FROM t" for n in CRITERIA) + ") SELECT criterion, round(avg(s), 3) AS average, count(s) AS n FROM l WHERE s IS NOT NULL GROUP BY criterion")
 def criteria_averages(spark, sf):
-    return scoring.criteria_averages(triples(spark, sf), "validation_scores", CRITERIA)
+    return scoring.criteria_averages(triples(spark, sf, "validation_scores"), "validation_scores", CRITERIA)
 
 
 @register(
@@ -74,12 +75,12 @@ def criteria_averages(spark, sf):
     count_if(coalesce({_S}, 0) >= 0.55 AND coalesce({_S}, 0) < 0.7)::BIGINT AS total_borderline, count_if({_S} IS NULL)::BIGINT AS failed_validation, round(avg({_S}), 3) AS avg_quality_score FROM t""",
 )
 def quality_report(spark, sf):
-    return scoring.quality_report(triples(spark, sf))
+    return scoring.quality_report(triples(spark, sf, "quality_score"))
 
 
 @register("metric_summary", f"WITH {_ONE} SELECT round(avg({_C('validation_scores.faithfulness')}), 3) AS avg_faithfulness, round(avg({_C('validation_scores.relevance')}), 3) AS avg_relevance, count(*) AS sample_size FROM t")
 def metric_summary(spark, sf):
-    return scoring.metric_summary(triples(spark, sf).select("validation_scores.*"), ["faithfulness", "relevance"])
+    return scoring.metric_summary(triples(spark, sf, "validation_scores").select("validation_scores.*"), ["faithfulness", "relevance"])
 
 
 DIGEST = lambda seed, key: f"('0x' || substr(md5('{seed}:' || {key}), 1, 15))::BIGINT"
@@ -88,7 +89,7 @@ DIGEST = lambda seed, key: f"('0x' || substr(md5('{seed}:' || {key}), 1, 15))::B
 @register("exact_sample", f"WITH {_ONE} SELECT triple_id FROM t QUALIFY row_number() OVER (ORDER BY {DIGEST(1, 'triple_id')}, triple_id) <= greatest(1, floor((SELECT count(*) FROM t) * 0.3))")
 def exact_sample(spark, sf):
     """An exact 30 % sample drawn by digest."""
-    return scoring.exact_sample(triples(spark, sf).select("triple_id"), "triple_id", 0.3)
+    return scoring.exact_sample(triples(spark, sf, "quality_score").select("triple_id"), "triple_id", 0.3)
 
 
 @register("bernoulli_sample", f"WITH {_ONE} SELECT triple_id FROM t WHERE {DIGEST(1, 'triple_id')} % 1000000 < 100000")
@@ -98,7 +99,7 @@ def bernoulli_sample(spark, sf):
 
 @register("type_histogram", f"WITH {_ONE} SELECT {_LAB('question_type')} AS question_type, {_LAB('difficulty')} AS difficulty, count(*) AS n FROM t GROUP BY 1, 2")
 def type_histogram(spark, sf):
-    return reporting.histogram(triples(spark, sf), "question_type", "difficulty")
+    return reporting.histogram(triples(spark, sf, "question_type", "difficulty"), "question_type", "difficulty")
 
 
 @register(
@@ -108,7 +109,7 @@ def type_histogram(spark, sf):
     SELECT triple_id, persona, query_style, query_length, CASE WHEN p < 250 THEN 'factual' WHEN p < 450 THEN 'explanatory' WHEN p < 600 THEN 'procedural' WHEN p < 750 THEN 'comparative' WHEN p < 850 THEN 'inferential' ELSE 'scenario' END AS target_type FROM pick""",
 )
 def scenario_assign(spark, sf):
-    return scenarios.scenarios(triples(spark, sf).select("triple_id"), "triple_id")
+    return scenarios.scenarios(triples(spark, sf, "quality_score").select("triple_id"), "triple_id")
 
 
 @register(
@@ -181,7 +182,7 @@ _SUMMARY = f"""SELECT run_id, count(*) AS total_triples, count_if(coalesce({_S},
 
 @register("run_summary", f"WITH {_ONE} {_SUMMARY}")
 def run_summary(spark, sf):
-    return reporting.run_summary(triples(spark, sf))
+    return reporting.run_summary(triples(spark, sf, "run_id", "quality_score", "question_type", "retrieved_sources"))
 
 
 @register(
@@ -189,7 +190,7 @@ def run_summary(spark, sf):
     f"WITH {_ONE}, s AS ({_SUMMARY}) SELECT run_id, 'Total Triples' AS metric, total_triples::VARCHAR AS value FROM s UNION ALL SELECT run_id, 'Accepted', accepted::VARCHAR FROM s UNION ALL SELECT run_id, 'Rejected', rejected::VARCHAR FROM s UNION ALL SELECT run_id, 'Multihop', multihop::VARCHAR FROM s UNION ALL SELECT run_id, 'Cross Document', cross_document::VARCHAR FROM s",
 )
 def sheet_summary(spark, sf):
-    return reporting.summary_sheet(reporting.run_summary(triples(spark, sf)).drop("avg_quality_score"), "run_id")
+    return reporting.summary_sheet(reporting.run_summary(triples(spark, sf, "run_id", "quality_score", "question_type", "retrieved_sources")).drop("avg_quality_score"), "run_id")
 
 
 @register(
@@ -210,7 +211,7 @@ def export_json(spark, sf):
 @register("export_sheet", f"WITH {_ONE}, s AS ({_SUMMARY}) SELECT run_id, metric, value FROM (UNPIVOT (SELECT run_id, total_triples, accepted, rejected FROM s) ON total_triples, accepted, rejected INTO NAME metric VALUE value)")
 def export_sheet(spark, sf):
     """A sheet written as a folder of its own and read back."""
-    per_run = reporting.run_summary(triples(spark, sf)).select("run_id", "total_triples", "accepted", "rejected")
+    per_run = reporting.run_summary(triples(spark, sf, "run_id", "quality_score", "question_type", "retrieved_sources")).select("run_id", "total_triples", "accepted", "rejected")
     path = sheets.export_sheets({"Run Summary": per_run}, f"{shared_dir(spark)}/sheets-{uuid.uuid4().hex}", "csv")[0]
     back = spark.read.schema(per_run.schema).option("header", "true").csv(path)
     return back.select("run_id", F.explode(F.create_map(*(x for c in ("total_triples", "accepted", "rejected") for x in (F.lit(c), F.col(c))))).alias("metric", "value"))
@@ -221,14 +222,14 @@ def export_sheet(spark, sf):
     || 'Length: ' || [{", ".join(f"'{x}'" for x in scenarios.LENGTHS.values())}][(b + 1)::INT] || chr(10) || 'Kind: ' || CASE WHEN p < 250 THEN 'factual' WHEN p < 450 THEN 'explanatory' WHEN p < 600 THEN 'procedural' WHEN p < 750 THEN 'comparative' WHEN p < 850 THEN 'inferential' ELSE 'scenario' END AS text FROM p""")
 def scenario_texts(spark, sf):
     """What a question writer is told."""
-    rows = scenarios.scenarios(triples(spark, sf).select("triple_id"), "triple_id")
+    rows = scenarios.scenarios(triples(spark, sf, "quality_score").select("triple_id"), "triple_id")
     return rows.select("triple_id", scenarios.instruction(F.col("persona"), F.col("query_style"), F.col("query_length"), F.col("target_type")).alias("text"))
 
 
 @register("scenarios_allowed", f"WITH {_ONE} SELECT triple_id, ['expert', 'curious_student'][(triple_id % 2 + 1)::INT] AS persona, ['{"','".join(scenarios.STYLE_NAMES)}'][(triple_id % 3 + 1)::INT] AS query_style, 'long' AS query_length FROM t")
 def scenarios_allowed(spark, sf):
     """Lists of wanted names: unknown ones are left out, a list without a known one allows all."""
-    rows = scenarios.scenarios(triples(spark, sf).select("triple_id"), "triple_id", ["expert", "nobody", "curious_student"], ["unheard"], ["long"])
+    rows = scenarios.scenarios(triples(spark, sf, "quality_score").select("triple_id"), "triple_id", ["expert", "nobody", "curious_student"], ["unheard"], ["long"])
     return rows.drop("target_type")
 
 

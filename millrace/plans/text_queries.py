@@ -17,10 +17,11 @@ _CHUNKS = "one AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
-def chunks(spark, sf):
-    """One row per chunk, the latest load."""
+def chunks(spark, sf, *columns):
+    """One row per chunk, the latest load. Only the columns named are read and shuffled; all of
+    them, texts too, where none is."""
     rows = table(spark, sf, "chunks")
-    names = [c for c in rows.columns if c not in ("chunk_id", "loaded_at")]
+    names = list(columns) or [c for c in rows.columns if c not in ("chunk_id", "loaded_at")]
     best = rows.groupBy("chunk_id").agg(F.max_by(F.struct(*names), "loaded_at").alias("_c"))
     return best.select("chunk_id", "_c.*")
 
@@ -116,12 +117,12 @@ def global_chunk_ids(spark, sf):
 
 @register("chunk_statistics", f"WITH {_CHUNKS} SELECT count(*) AS total_chunks, round(avg(length(page_content)), 0) AS avg_chunk_size, min(length(page_content))::INT AS min_chunk_size, max(length(page_content))::INT AS max_chunk_size FROM one")
 def chunk_statistics(spark, sf):
-    return chunking.chunk_statistics(chunks(spark, sf))
+    return chunking.chunk_statistics(chunks(spark, sf, "page_content"))
 
 
 @register("chunks_per_source", f"WITH {_CHUNKS} SELECT source_file, count(*) AS n_chunks FROM one GROUP BY source_file")
 def chunks_per_source(spark, sf):
-    return chunking.chunks_per_source(chunks(spark, sf))
+    return chunking.chunks_per_source(chunks(spark, sf, "source_file"))
 
 
 @register(
@@ -206,7 +207,7 @@ def previews(spark, sf):
 @register("answer_prompts", f"""WITH {_CHUNKS}, t AS (SELECT DISTINCT triple_id, question, source_chunk_id FROM qa_triples)
   SELECT triple_id, 'Q: ' || coalesce(question, '') || chr(10) || '[Source: ' || coalesce(source_file, 'unknown') || ']' || chr(10) || coalesce(substr(page_content, 1, 8000), '') AS prompt FROM t JOIN one ON chunk_id = source_chunk_id""")
 def answer_prompts(spark, sf):
-    rows = table(spark, sf, "qa_triples").select("triple_id", "question", F.col("source_chunk_id").alias("chunk_id")).distinct().join(chunks(spark, sf), "chunk_id")
+    rows = table(spark, sf, "qa_triples").select("triple_id", "question", F.col("source_chunk_id").alias("chunk_id")).distinct().join(chunks(spark, sf, "source_file", "page_content"), "chunk_id")
     context = T.source_context(F.array(F.struct("source_file", F.substring("page_content", 1, 8000).alias("page_content"))))
     return rows.select("triple_id", T.prompt("Q: {question}\n{context}", question=F.col("question"), context=context).alias("prompt"))
 

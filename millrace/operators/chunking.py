@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from ..functions.vectors import mean_vectors
 from .ordering import BUCKETS, running_total
 
 _WORD = re.compile(r"\w+")
+_SPAN = ["doc_chunk_id", "sentence_start", "sentence_end", "num_sentences", "char_length", "page_content"]
 
 
 def sentences(docs: DataFrame, key: str, text: str, longer_than: int = 20) -> DataFrame:
@@ -29,26 +31,13 @@ def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def lexical_similarities(sents: Column) -> Column:
-    """Word-set similarity of each sentence to the next, 6 decimals; 0 where one has no words.
-
-    Sets of words and the fold below are loops over the sentences of a document: as expressions they
-    run interpreted, so both work on Arrow batches, where the document is read.
-    """
-
-    @F.arrow_udf("array<double>")
-    def near(column: pa.Array) -> pa.Array:
-        values, ends = _lists(column)
-        words = [set(_WORD.findall(s.lower())) for s in values.to_pylist()]
-        out, upto = [], [0]
-        for a, b in zip(ends, ends[1:]):
-            for x, y in zip(words[a:b], words[a + 1 : b]):
-                both = len(x & y)
-                out.append(round(both / (len(x) + len(y) - both), 6) if both else 0.0)
-            upto.append(len(out))
-        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(out, pa.float64()))
-
-    return near(sents)
+def _near(words: list[set[str]]) -> list[float]:
+    """Word-set similarity of each sentence to the next, 6 decimals; 0 where one has no words."""
+    out = []
+    for x, y in zip(words, words[1:]):
+        both = len(x & y)
+        out.append(round(both / (len(x) + len(y) - both), 6) if both else 0.0)
+    return out
 
 
 def fold(lengths: list[int], similarities: list[float | None], threshold: float, least: int, most: int) -> list[tuple[int, int]]:
@@ -73,7 +62,8 @@ def fold_chunks(lengths: Column, similarities: Column, threshold: float = 0.75,
     Walks the sentences in order. A similarity under ``threshold`` ends a chunk that has at least
     ``least`` characters; otherwise the next sentence joins, and a chunk that grew over ``most``
     characters ends with it. Lengths count the single spaces between sentences. What is left at the
-    end is a chunk of whatever length. No sentences give an empty array.
+    end is a chunk of whatever length. No sentences give an empty array. A loop over sentences would
+    run interpreted as an expression; it works on Arrow batches, where the document is.
     """
 
     @F.arrow_udf("array<struct<a:int,b:int>>")
@@ -97,9 +87,23 @@ def chunk_documents(docs: DataFrame, key: str, text: str, threshold: float = 0.1
     A document is folded where it is read: no shuffle at all.
     """
     rows = docs.select(key, split_sentences(F.col(text)).alias("_s")).where(F.size("_s") > 0)
-    rows = rows.withColumn("_sim", lexical_similarities(F.col("_s"))).withColumn("_len", F.transform("_s", lambda s: F.length(s)))
-    spans = rows.select(key, "_s", F.posexplode(fold_chunks(F.col("_len"), F.col("_sim"), threshold, least, most)).alias("doc_chunk_id", "_c"))
-    return materialise(spans, key)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, ends = _lists(batch.column("_s"))
+            said = values.to_pylist()
+            words = [set(_WORD.findall(s.lower())) for s in said]
+            found: list[tuple[int, int, int, int, int, int, str]] = []
+            for row, (a, b) in enumerate(zip(ends, ends[1:])):
+                for k, (first, last) in enumerate(fold([len(s) for s in said[a:b]], _near(words[a:b]), threshold, least, most)):
+                    body = " ".join(said[a + first : a + last + 1])
+                    found.append((row, k, first, last, last - first + 1, len(body), body))
+            columns = list(zip(*found)) or [()] * 7
+            numbers = [pa.array(c, pa.int32()) for c in columns[1:6]]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(columns[0], pa.int32())), *numbers, pa.array(columns[6], pa.string())], [key, *_SPAN])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(cut, f"{key} {kind}, " + ", ".join(f"{c} int" for c in _SPAN[:5]) + ", page_content string")
 
 
 def materialise(spans: DataFrame, key: str) -> DataFrame:

@@ -83,4 +83,4 @@ def test_global_ids_and_failures(spark):
 def test_no_shuffle(spark, name):
     docs = spark.createDataFrame([(0, "text")], "doc int, text string")
     plan = chunking.chunk_documents(docs, "doc", "text")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    assert "Exchange" not in plan and "BatchEvalPython" not in plan and plan.count("MapInArrow") == 1

@@ -36,11 +36,5 @@ def file_of(path: Column) -> Column:
     return F.when(strip(path) != "", F.lower(strip(F.regexp_replace(path, r"^(?s:.*)[/\\]", ""))))
 
 
-def hashed(seed: int, *keys: Column) -> Column:
-    """60 bits of a digest of the keys: a place in a draw that any engine can compute."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys)))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-
-
 def usable(score: Column) -> Column:
     return score.isNotNull() & ~F.isnan(score)

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.ordering import group_cutoffs, salted_key
+from ..operators.ordering import group_cutoffs, running_total, salted_key
+from ..session import durable
 from .common import file_of, usable
 
 #: Salts of the first ranking: a contributor holding a third of all rows is ranked by so many tasks.
 SALTS = 128
+#: Most rows of one contributor that the second ranking may see in one task; larger caps are cut by
+#: cutoffs instead.
+MOST_RANKED = 1_000_000
 
 
 def scored_records(df: DataFrame, ident: str = "id", path: str = "metadata.source_file", score: str = "metadata.quality_score") -> DataFrame:
@@ -34,8 +38,11 @@ def rank_split(records: DataFrame, cap: int | Column, salts: int = SALTS) -> tup
 
     First ranking: within (contributor, salt of ident). A row beyond the cap there is beyond it
     for good. Second ranking: within contributor, over at most salts x cap rows. So a dominant
-    contributor is sorted by many tasks and none of its rows are dropped unseen.
+    contributor is sorted by many tasks and none of its rows are dropped unseen. A number so large
+    that the second ranking could see more than ``MOST_RANKED`` rows goes to ``cutoff_split``.
     """
+    if isinstance(cap, int) and cap * salts > MOST_RANKED:
+        return cutoff_split(records, cap)
     order = [F.desc("score"), F.asc("ident")]
     limit = F.lit(cap) if isinstance(cap, int) else cap
     pre = records.withColumn("_salt", salted_key(F.col("ident"), salts)).withColumn(
@@ -51,6 +58,31 @@ def rank_split(records: DataFrame, cap: int | Column, salts: int = SALTS) -> tup
     return kept, gone
 
 
+def cutoff_split(records: DataFrame, cap: int, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The same split for caps of any size, without a contributor's rows ever meeting in one task.
+
+    The score of the cap-th best row is found by counting scores in buckets. Rows above it stay; of
+    those that tie with it, the smallest idents fill what is left, ranked in buckets whose limits
+    come from a sample of about 4,096 idents a contributor (it balances, ranks are exact).
+    """
+    cuts = group_cutoffs(records.select("contributor", "score"), "contributor", "score", F.least(F.lit(cap).cast("long"), F.col("n_rows")))
+    cuts = durable(cuts.select("contributor", "cutoff", "n_kept"), "cuts")
+    placed = durable(records.join(cuts, "contributor", "left"), "placed")  # a cap of 0 has no cutoff
+    above, below = placed.where("score > cutoff"), placed.where("cutoff is null or score < cutoff")
+    tied = placed.where("score = cutoff")
+    size = tied.groupBy("contributor").agg(F.count("*").alias("_n"))
+    drawn = tied.select("contributor", "ident").join(size, "contributor").where(F.pmod(F.xxhash64("ident"), F.greatest(F.lit(1), F.col("_n").cast("long") / 4_096).cast("long")) == 0)
+    some = drawn.groupBy("contributor").agg(F.array_sort(F.collect_list("ident")).alias("_all"), F.first("_n").alias("_n"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get(F.col("_all"), F.floor(i * F.size("_all") / buckets).cast("int")))
+    limits = size.join(some.select("contributor", F.filter(at, lambda x: x.isNotNull()).alias("_limits")), "contributor", "left")
+    tied = tied.join(limits, "contributor").withColumn("_bucket", F.size(F.filter(F.coalesce("_limits", F.array().cast("array<string>")), lambda x: x <= F.col("ident").cast("string"))))
+    tied = durable(tied.withColumn("_one", F.lit(1)), "tied")
+    ranked = running_total(tied, ["contributor"], "_bucket", [F.asc("ident")], "_one", "_rank")
+    fits = F.col("_rank") <= cap - (F.col("n_kept") - F.col("_n"))
+    names = records.columns
+    return above.select(names).unionByName(ranked.where(fits).select(names)), below.select(names).unionByName(ranked.where(~fits).select(names))
+
+
 def cap_contributors(records: DataFrame, max_count: int | None = None, max_permille: int | None = None, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
     """Keep at most ``max_count`` records a contributor, or ``max_permille`` of all records, or the
     smaller of both; returns (kept, removed). A cap of 0 removes all rows.

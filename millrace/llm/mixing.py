@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import running_total
+from ..operators.ordering import digest, running_total
 from ..session import durable
-from .common import hashed, strip, token_count
+from .common import strip, token_count
 
 SEED = 77
 #: Slices of virtual time in which the global order is sorted.
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, plan: list[Share], budget: int) -> DataFrame:
     rows = [(s.source, s.weight, s.available, min(s.max_repeat, int(s.weight * horizon // s.available) + 1)) for s in live]
     rule = spark.createDataFrame(rows, "source string, _w long, _available long, _passes long")
     every = docs.where("n_tokens > 0").join(F.broadcast(rule), "source").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1)))
-    every = durable(every.withColumn("_h", hashed(SEED, F.col("doc_id"), F.col("pass"))).withColumn("_bucket", F.shiftright("_h", 52).cast("int")), "passes")
+    every = durable(every.withColumn("_h", digest(SEED, F.col("doc_id"), F.col("pass"))).withColumn("_bucket", F.shiftright("_h", 52).cast("int")), "passes")
     own = running_total(every, ["source", "pass"], "_bucket", [F.col("_h"), F.col("doc_id")], "n_tokens", "_cum")
     timed = own.withColumn("finish", (F.col("_cum") + F.col("pass") * F.col("_available")) / F.col("_w"))
     timed = timed.where(F.col("finish") <= horizon).withColumn("_g", F.lit(0)).withColumn("_slice", F.floor(F.col("finish") / F.lit(max(horizon, 1e-9)) * SLICES).cast("int"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..operators.ordering import digest
 from ..session import durable
-from .common import hashed, label
+from .common import label
 
 KEYS = ["question_type", "difficulty"]
 #: Oversampling in standard deviations of the binomial count; a shortfall is topped up all the same.
@@ -29,7 +30,7 @@ def categorised(triples: DataFrame) -> DataFrame:
     """
     rows = triples.select(F.col("triple_id"), *(label(F.col(k)).alias(k) for k in KEYS)).where("triple_id is not null")
     one = rows.groupBy("triple_id").agg(F.min(F.struct(*KEYS)).alias("_k"))
-    return one.select("triple_id", *(F.col(f"_k.{k}").alias(k) for k in KEYS), hashed(SEED, F.col("triple_id")).alias("u"))
+    return one.select("triple_id", *(F.col(f"_k.{k}").alias(k) for k in KEYS), digest(SEED, F.col("triple_id")).alias("u"))
 
 
 def sample_plan(rows: DataFrame, targets: DataFrame, divisor: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from millrace.llm.contributors import cap_contributors, fraction_cutoffs, keep_fraction, rank_split, scored_records
+from millrace.llm.contributors import cap_contributors, cutoff_split, fraction_cutoffs, keep_fraction, rank_split, scored_records
 
 META = "id string, metadata struct<source_file string, quality_score double>, contributor string, score string"
 
@@ -50,6 +50,17 @@ def test_share_cap_and_zero(spark):
     assert kept.count() == 0 and gone.count() == 21
 
 
+@pytest.mark.parametrize("cap", [0, 1, 7, 100])
+def test_large_caps_by_cutoffs(spark, cap):
+    """One contributor holds two thirds; scores tie everywhere."""
+    rows = sample_rows(500, 8) + [(f"t{k:04d}", "hot.docx", 0.5) for k in range(150)]
+    records = scored_records(conversations(spark, rows))
+    kept, gone = cutoff_split(records, cap, buckets=8)
+    want = brute(rows)
+    assert {r.ident for r in kept.collect()} == {i for v in want.values() for _, _, i in v[:cap]}
+    assert {r.ident for r in gone.collect()} == {i for v in want.values() for _, _, i in v[cap:]}
+
+
 def test_cutoffs_match_brute_force(spark):
     rows = sample_rows(seed=3)
     records = scored_records(conversations(spark, rows))

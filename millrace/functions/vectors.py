@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Largest side, in rows, that a search hands to every task; beyond it both sides are blocked.
-BROADCAST_ROWS = 50_000
+#: Largest side, in rows and in bytes of its matrix, that a search hands to every task; beyond either
+#: both sides are blocked.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 #: Rows of a block on either side when both are blocked.
 BLOCK_ROWS = 4_096
 
@@ -46,9 +47,16 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "embedd
 
 
 def adjacent_similarity(df: DataFrame, group: str, order: str, vector: str) -> DataFrame:
-    """Similarity of each row to the next one of its group, null for the last."""
-    nxt = F.lead(vector).over(Window.partitionBy(group).orderBy(order))
-    return df.select(group, order, F.when(nxt.isNotNull(), cosine(F.col(vector), nxt)).alias("similarity"))
+    """Similarity of each row to the next one of its group, null for the last.
+
+    ``order`` is a number without repeats. Rows are numbered inside their group by bucketed totals
+    and joined to the next number, so no task has a whole group.
+    """
+    from ..operators.ordering import numbered
+
+    rows = numbered(df.select(group, order, vector), [group], order, "_no")
+    following = rows.select(group, (F.col("_no") - 1).alias("_no"), F.col(vector).alias("_next"))
+    return rows.join(following, [group, "_no"], "left").select(group, order, F.when(F.col("_next").isNotNull(), cosine(F.col(vector), F.col("_next"))).alias("similarity"))
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
@@ -79,13 +87,19 @@ def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, units: np.ndarr
     return pd.concat(out) if out else pd.DataFrame({"query_id": query_ids, "item_id": ids[:0], "similarity": np.zeros(0)})
 
 
+def _size(items: DataFrame) -> tuple[int, bool]:
+    """Number of rows, and whether their matrix may be broadcast."""
+    row = items.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width")).first()
+    return row["n"], row["n"] <= BROADCAST_ROWS and 8 * row["n"] * row["width"] <= BROADCAST_BYTES
+
+
 def exact_top_k(queries: DataFrame, items: DataFrame, k: int, same: bool = False) -> DataFrame:
     """``(query_id, item_id, similarity, rank)``: the k most similar items of each query, exactly.
 
     Both inputs have ``(id, embedding)`` of equal lengths. Similarities are cosines rounded to 6
     decimals, ties by smaller id. ``same``: an item is not its own neighbour.
 
-    The number of items is counted first. Up to ``BROADCAST_ROWS`` of them are broadcast as one
+    The number of items is counted first. Up to ``BROADCAST_ROWS`` of them, and ``BROADCAST_BYTES``, are broadcast as one
     matrix and each batch of queries is a matrix product. Beyond, both sides are hashed into blocks
     and every pair of blocks is a task; the work stays quadratic, which exactness costs, but no task
     holds more than two blocks.
@@ -95,10 +109,10 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, same: bool = False
     items = items.select("id", "embedding").where("id is not null and embedding is not null")
     id_type = queries.schema["id"].dataType.simpleString()
     shape = f"query_id {id_type}, item_id {items.schema['id'].dataType.simpleString()}, similarity double"
-    n = items.count()
+    n, fits = _size(items)
     if n == 0:
         return spark.createDataFrame([], shape + ", rank int")
-    if n <= BROADCAST_ROWS:
+    if fits:
         held = items.orderBy("id").toPandas()
         shared = spark.sparkContext.broadcast((held["id"].to_numpy(), _units(held["embedding"])))
 
@@ -141,17 +155,17 @@ def pairs_over(items: DataFrame, threshold: float) -> DataFrame:
     """``(src, dst)``, src < dst: every pair of ``(id, embedding)`` whose cosine, rounded to 6
     decimals, is over ``threshold``, however many partners an item has.
 
-    Up to ``BROADCAST_ROWS`` items are broadcast as one matrix; beyond, every unordered pair of
+    Up to ``BROADCAST_ROWS`` items and ``BROADCAST_BYTES`` are broadcast as one matrix; beyond, every unordered pair of
     hashed blocks is a task, of blocks half as large since all their pairs may come out.
     """
     spark = items.sparkSession
     items = items.select("id", "embedding").where("id is not null and embedding is not null")
     kind = items.schema["id"].dataType.simpleString()
     shape = f"src {kind}, dst {kind}"
-    n = items.count()
+    n, fits = _size(items)
     if n < 2:
         return spark.createDataFrame([], shape)
-    if n <= BROADCAST_ROWS:
+    if fits:
         held = items.toPandas()
         shared = spark.sparkContext.broadcast((held["id"].to_numpy(), _units(held["embedding"])))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_terms
 from .ordering import salted_key
 
-ENTITY, KEYPHRASE, SECTION = "entity_overlap", "keyphrase_overlap", "hierarchical"
+ENTITY, KEYPHRASE, SECTION = "shared_entity", "shared_keyphrase", "hierarchical"
 TYPES = (ENTITY, KEYPHRASE, SECTION)
 LEAST, SECTION_STRENGTH = 0.05, 0.5
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
+import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -92,6 +94,39 @@ def reuse_embeddings(df: DataFrame, text: str, vector: str, factory: Callable[[]
     return have.withColumn(vector, F.col(vector).cast("array<double>")).unionByName(fresh)
 
 
+@dataclass(frozen=True)
+class HttpModel:
+    """Client of a service with the widespread JSON interface of ``/chat/completions`` and
+    ``/embeddings``. ``key_from`` names the environment variable, on the workers, that holds the
+    key. A request that ends in an error raises; ``CallPolicy`` decides whether it is tried again.
+    """
+
+    url: str
+    chat_model: str = ""
+    embedding_model: str = ""
+    timeout: float = 180.0
+    temperature: float = 0.0
+    key_from: str | None = None
+
+    def _post(self, path: str, body: dict) -> dict:
+        head = {"Content-Type": "application/json"}
+        if self.key_from:
+            head["Authorization"] = f"Bearer {os.environ[self.key_from]}"
+        request = urllib.request.Request(f"{self.url.rstrip('/')}/{path}", json.dumps(body).encode(), head)
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.load(answer)
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        ask = lambda p: {"model": self.chat_model, "temperature": self.temperature, "messages": [{"role": "user", "content": p}]}
+        return [self._post("chat/completions", ask(p))["choices"][0]["message"]["content"] for p in prompts]
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        found = sorted(self._post("embeddings", {"model": self.embedding_model, "input": texts})["data"], key=lambda d: d["index"])
+        if len(found) != len(texts):
+            raise ValueError("the service returned another number of vectors")
+        return [d["embedding"] for d in found]
+
+
 class OfflineModel:
     """Deterministic stand-in for chat and embedding services.
 

@@ -94,3 +94,47 @@ def test_advanced_metrics_query_measures_the_configured_share(spark, monkeypatch
     monkeypatch.setattr(generation, "advanced_metrics", measured)
     assert Q.advanced_metrics(spark, "").count() == 300
     assert seen["chosen"] == 300 and 10 <= seen["noisy"] <= 60
+
+
+def test_http_client(spark):
+    """Against a small server: one prompt is refused once and then answered."""
+    import json
+    import threading
+    from functools import partial
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from millrace.operators.models import CallPolicy, HttpModel, completion, embedding
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(self.path)
+            if self.path.endswith("completions"):
+                text = body["messages"][0]["content"]
+                if text == "again" and seen.count(self.path) < 3 or text == "never":
+                    self.send_response(503)
+                    self.end_headers()
+                    return
+                out = {"choices": [{"message": {"content": text.upper()}}]}
+            else:
+                out = {"data": [{"index": k, "embedding": [float(len(t)), 1.0]} for k, t in reversed(list(enumerate(body["input"])))]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        client = partial(HttpModel, f"http://127.0.0.1:{server.server_port}/v1", "m", "e", 20.0)
+        df = spark.createDataFrame([("one",), ("again",), ("never",), (None,)], "t string").coalesce(1)
+        got = {r.t: r.c for r in df.select("t", completion(df.t, client, CallPolicy(1, 3, 0.01)).alias("c")).collect()}
+        assert got["one"].text == "ONE" and got["again"].text == "AGAIN" and got[None].text is None
+        assert got["never"].text is None and "503" in got["never"].error
+        assert {r.t: r.v for r in df.select("t", embedding(df.t, client).alias("v")).collect()} == {"one": [3.0, 1.0], "again": [5.0, 1.0], "never": [5.0, 1.0], None: None}
+    finally:
+        server.shutdown()

@@ -155,7 +155,7 @@ def test_graph_against_all_pairs(spark):
     want = {}
     for i, a in enumerate(rows):
         for b in rows[i + 1 :]:
-            for kind, col in (("entity_overlap", 2), ("keyphrase_overlap", 3)):
+            for kind, col in (("shared_entity", 2), ("shared_keyphrase", 3)):
                 x, y = sets(a[col]), sets(b[col])
                 if x & y and len(x & y) / len(x | y) >= 0.05:
                     want[a[0], b[0], kind] = round(len(x & y) / len(x | y), 6)
@@ -176,7 +176,7 @@ def test_graph_against_all_pairs(spark):
 
 def test_graph_round_trip_and_plans(spark, tmp_path):
     df = nodes(spark, [(1, "x", ["a"], ["p"], "s"), (2, "x", ["a", "b"], None, "s")])
-    edges = graph.class_edges(graph.term_classes(df, "entities")[0], "entity_overlap")
+    edges = graph.class_edges(graph.term_classes(df, "entities")[0], "shared_entity")
     graph.save_graph(df, edges, str(tmp_path))
     n, e = graph.load_graph(spark, str(tmp_path))
     assert n.count() == 2 and e.collect() == edges.collect() and graph.incident_edges(e, 2).count() == 1 and graph.node_by_id(n, 2).count() == 1

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_terms
-from .ordering import salted_key
+from ..session import durable
 
 ENTITY, KEYPHRASE, SECTION = "shared_entity", "shared_keyphrase", "hierarchical"
 TYPES = (ENTITY, KEYPHRASE, SECTION)
 LEAST, SECTION_STRENGTH = 0.05, 0.5
+#: Rows of a term's list in one part, meetings of sets in one task, and the most tasks.
+LIST_ROWS, MEETINGS, MOST_TASKS = 4096, 8_000_000, 4096
 
 
 def distinct_nodes(nodes: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -35,26 +37,58 @@ def term_classes(nodes: DataFrame, terms: str, key: str = "chunk_id") -> tuple[D
     return classes, sets.join(classes, "terms").select(key, "class_id")
 
 
-def class_edges(classes: DataFrame, kind: str, least: float = LEAST, salts: int = 16) -> DataFrame:
+def class_edges(classes: DataFrame, kind: str, least: float = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(source_id, target_id, relationship_type, shared_properties, strength)`` between classes.
 
-    Jaccard similarity of at least ``least`` > 0, 6 decimals, smaller id first. Classes without a
-    common term cannot qualify, so pairs come from an equi-join on the term. A term's list is salted
-    on the left and repeated on the right, so that the pairs of a common term are made by many
-    tasks; each pair is counted at all its terms and comes out once.
+    Jaccard similarity of at least ``least`` > 0, 6 decimals, smaller id first. Columns of the
+    classes in ``carry`` come along, as ``_a_`` and ``_b_`` with their name.
+    """
+    sets = durable(classes.select("class_id", "terms", *carry), "classes")
+    pairs = sharing_pairs(sets, sets, F.col("_a_class_id") < F.col("_b_class_id"), least)
+    held = [F.col(f"{side}{c}") for c in carry for side in ("_a_", "_b_")]
+    return pairs.select(F.col("_a_class_id").alias("source_id"), F.col("_b_class_id").alias("target_id"), F.lit(kind).alias("relationship_type"), "shared_properties", F.round(F.size("shared_properties") / _union(), 6).alias("strength"), *held)
+
+
+def _union() -> Column:
+    return F.col("_a_n") + F.col("_b_n") - F.size("shared_properties")
+
+
+def sharing_pairs(left: DataFrame, right: DataFrame, wanted: Column, least: float) -> DataFrame:
+    """Pairs of sets of a similarity of at least ``least`` > 0 for which ``wanted`` holds: the columns
+    of both sides as ``_a_`` and ``_b_`` with their name, and ``shared_properties``.
+
+    Both frames have ``terms``, sorted and distinct, and are read several times: hand over stored
+    tables. Sets without a common term cannot qualify, so pairs come from an equi-join on the term.
+    Both carry all their terms, so a pair is seen to be met at its first common term; at the others
+    it is dropped. Pairs are therefore never shuffled to be counted or made distinct: what is stored
+    grows with the terms, not with the pairs. A long list is cut on the left and repeated on the
+    right; the number of tasks follows the number of meetings.
     """
     if least <= 0:
         raise ValueError("the least similarity must be positive")
-    long = classes.select("class_id", F.size("terms").alias("_n"), F.explode("terms").alias("term"))
-    left = long.select("term", F.col("class_id").alias("source_id"), F.col("_n").alias("_na"), salted_key(F.col("class_id"), salts).alias("_salt"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    right = long.select("term", F.col("class_id").alias("target_id"), F.col("_n").alias("_nb"), spread.alias("_salt"))
+    # a bit for each term; all bits where two terms of a set have the same one
+    bits = F.expr("aggregate(terms, 0L, (s, t) -> s | shiftleft(1L, cast(pmod(xxhash64(t), 64) as int)))")
+    marked = lambda df: df.select("*", F.size("terms").alias("n"), F.when(F.bit_count(bits) == F.size("terms"), bits).otherwise(F.lit(-1).cast("long")).alias("bits"))
+    long = lambda df, side: marked(df).select(*(F.col(c).alias(side + c) for c in [*df.columns, "n", "bits"]), F.explode("terms").alias("term"))
+    count = lambda df, name: df.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias(name))
+    lists = count(left, "_na").join(count(right, "_nb"), "term")
+    meetings = lists.agg(F.sum(F.col("_na") * F.col("_nb"))).first()[0] or 0
+    tasks = int(min(MOST_TASKS, meetings // MEETINGS + 1))
+    heavy = F.broadcast(lists.where(F.col("_na") > LIST_ROWS).select("term", F.ceil(F.col("_na") / LIST_ROWS).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    a = long(left, "_a_").join(heavy, "term", "left").withColumn("_part", F.pmod(F.xxhash64("_a_class_id"), parts).cast("int")).drop("_parts")
+    b = long(right, "_b_").join(heavy, "term", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    a, b = (x.repartition(tasks, "term", "_part") for x in (a, b))
+    # one bit in common, and one bit for each term on either side: one term in common, this one
+    single = F.bit_count(F.col("_a_bits").bitwiseAND(F.col("_b_bits"))) == 1
+    common = F.array_intersect("_a_terms", "_b_terms")
     # sets of sizes a <= b share at most a terms: pairs too unlike in size never qualify
-    near = (F.col("source_id") < F.col("target_id")) & (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb"))
-    shared = left.join(right, ["term", "_salt"]).where(near).groupBy("source_id", "target_id", "_na", "_nb").agg(F.array_sort(F.collect_list("term")).alias("shared_properties"))
-    both = F.size("shared_properties")
-    union = F.col("_na") + F.col("_nb") - both
-    return shared.where(both >= least * union).select("source_id", "target_id", F.lit(kind).alias("relationship_type"), "shared_properties", F.round(both / union, 6).alias("strength"))
+    near = F.least("_a_n", "_b_n") >= least * F.greatest("_a_n", "_b_n")
+    met = a.join(b.hint("merge"), ["term", "_part"]).where(wanted & near & (single | (common[0] == F.col("term"))))
+    met = met.withColumn("shared_properties", F.when(single, F.array("term")).otherwise(common))
+    # where one common term is enough, more are too
+    enough = (F.lit(1) >= least * (F.col("_a_n") + F.col("_b_n") - 1)) | (F.size("shared_properties") >= least * _union())
+    return met.where(enough).drop("term", "_part", "_a_bits", "_b_bits")
 
 
 def section_groups(nodes: DataFrame, key: str = "chunk_id") -> DataFrame:

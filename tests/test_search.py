@@ -184,3 +184,24 @@ def test_graph_round_trip_and_plans(spark, tmp_path):
     assert "Cartesian" not in plan and "Join Cross" not in plan
     with pytest.raises(ValueError):
         graph.class_edges(graph.term_classes(df, "entities")[0], "x", 0)
+
+
+@pytest.mark.parametrize("rows", [4096, 3])
+def test_class_edges_meet_once_and_are_not_shuffled(spark, monkeypatch, rows):
+    monkeypatch.setattr(graph, "LIST_ROWS", rows)
+    monkeypatch.setattr(graph, "MEETINGS", 500)
+    r = random.Random(11)
+    sets = {k: {f"t{r.randint(0, 99)}" for _ in range(r.choice([1, 2, 4, 60, 90]))} for k in range(60)}
+    df = nodes(spark, [(k, "x", sorted(v), None, "s") for k, v in sets.items()])
+    edges = graph.class_edges(graph.term_classes(df, "entities")[0], "shared_entity")
+    want, first = {}, {}
+    for k, v in sets.items():
+        first.setdefault(frozenset(v), k)
+    for i, a in ((k, s) for s, k in first.items()):
+        for j, b in ((k, s) for s, k in first.items()):
+            if i < j and a & b and len(a & b) >= 0.05 * len(a | b):
+                want[i, j] = (sorted(a & b), round(len(a & b) / len(a | b), 6))
+    got = edges.collect()
+    assert {(e.source_id, e.target_id): (e.shared_properties, e.strength) for e in got} == want and len(got) == len(want)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.index("Join Inner") < plan.index("Repartition")

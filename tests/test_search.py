@@ -205,3 +205,14 @@ def test_class_edges_meet_once_and_are_not_shuffled(spark, monkeypatch, rows):
     assert {(e.source_id, e.target_id): (e.shared_properties, e.strength) for e in got} == want and len(got) == len(want)
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and plan.index("Join Inner") < plan.index("Repartition")
+
+
+def test_stored_edges_are_small(spark, tmp_path):
+    r = random.Random(12)
+    ids = r.sample(range(1 << 20), 1600)
+    df = nodes(spark, [(k, "x", [f"e{n % 4}", f"own{k}"], None, "s") for n, k in enumerate(ids)])
+    edges = graph.class_edges(graph.term_classes(df, "entities")[0], "shared_entity")
+    graph.save_graph(df, edges, str(tmp_path))
+    _, held = graph.load_graph(spark, str(tmp_path))
+    assert held.count() == 4 * 400 * 399 // 2 and held.exceptAll(edges).count() == 0
+    assert sum(p.stat().st_size for p in (tmp_path / "edges").glob("*.parquet")) < held.count() / 2

@@ -19,6 +19,8 @@ TYPES = (ENTITY, KEYPHRASE, SECTION)
 LEAST, SECTION_STRENGTH = 0.05, 0.5
 #: Rows of a term's list in one part, meetings of sets in one task, and the most tasks.
 LIST_ROWS, MEETINGS, MOST_TASKS = 4096, 8_000_000, 4096
+#: Terms of the largest sets whose pairs are counted by sets of terms.
+SMALL = 6
 
 
 def distinct_nodes(nodes: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -107,17 +109,39 @@ def edge_type_counts(nodes: DataFrame, key: str = "chunk_id", least: float = LEA
     parts = None
     for kind, column in ((ENTITY, "entities"), (KEYPHRASE, "keyphrases")):
         classes, _ = term_classes(nodes, column, key)
-        size = classes.select("class_id", "n_members")
-        across = class_edges(classes, kind, least).select("source_id", "target_id")
-        across = across.join(size.toDF("source_id", "_a"), "source_id").join(size.toDF("target_id", "_b"), "target_id").select((F.col("_a") * F.col("_b")).alias("n"))
-        inside = size.select(F.expr("n_members * (n_members - 1) div 2").alias("n"))
-        part = across.unionByName(inside).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_edges")).withColumn("relationship_type", F.lit(kind))
+        part = linked_nodes(classes, least).withColumn("relationship_type", F.lit(kind))
         parts = part if parts is None else parts.unionByName(part)
     groups = section_groups(nodes, key).select("class_id", "n_members").distinct()
     own = groups.agg(F.coalesce(F.sum(F.expr("n_members * (n_members - 1) div 2")), F.lit(0).cast("long")).alias("n_edges")).withColumn("relationship_type", F.lit(SECTION))
     return parts.unionByName(own).select("relationship_type", "n_edges")
 
 
+def linked_nodes(classes: DataFrame, least: float = LEAST) -> DataFrame:
+    """One row, ``n_edges``: pairs of members of linked classes, or of one class.
+
+    Small sets are linked by any common term. How many of their pairs have one is counted without
+    the pairs: each set of terms S that some class holds has P(S) pairs that hold it, and by inclusion
+    and exclusion the sum of P(S), less where S is even, counts each pair once. So much for sets of up
+    to ``SMALL`` terms, which have up to 2 ** SMALL - 1 of these; pairs with a larger one are joined.
+    """
+    if least <= 0:
+        raise ValueError("the least similarity must be positive")
+    most = max((n for n in range(1, SMALL + 1) if 1 >= least * (2 * n - 1)), default=0)
+    sets = durable(classes.select("class_id", "terms", "n_members"), "classes")
+    small, large = sets.where(F.size("terms") <= most), sets.where(F.size("terms") > most)
+    total = F.coalesce(F.sum("n"), F.lit(0)).cast("decimal(38,0)").alias("n")
+    pairs = F.expr("cast(w as decimal(38,0)) * (w - 1) div 2").cast("decimal(38,0)")
+    # a node is paired with every other whose class shares S, members of its own class too
+    held = small.select("n_members", F.explode(F.expr("transform(sequence(1, shiftleft(1, size(terms)) - 1), m -> filter(terms, (t, i) -> (shiftright(m, i) & 1) = 1))")).alias("held"))
+    counted = held.groupBy("held").agg(F.sum("n_members").alias("w")).select(F.when(F.size("held") % 2 == 1, pairs).otherwise(-pairs).alias("n")).agg(total)
+    if large.isEmpty():
+        return counted.select(F.col("n").cast("long").alias("n_edges"))
+    other = sharing_pairs(large, sets, (F.size("_b_terms") <= most) | (F.col("_a_class_id") < F.col("_b_class_id")), least)
+    across = other.select((F.col("_a_n_members") * F.col("_b_n_members")).cast("decimal(38,0)").alias("n")).agg(total)
+    inside = large.select(F.expr("n_members * (n_members - 1) div 2").cast("decimal(38,0)").alias("n")).agg(total)
+    return counted.unionByName(across).unionByName(inside).agg(total).select(F.col("n").cast("long").alias("n_edges"))
+
+
 def node_edges(nodes: DataFrame, chosen: DataFrame, key: str = "chunk_id", least: float = LEAST) -> DataFrame:
     """All edges of the chosen nodes (a frame of keys), unfolded: both ends, kind, shared, strength.
 

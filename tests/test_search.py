@@ -216,3 +216,18 @@ def test_stored_edges_are_small(spark, tmp_path):
     _, held = graph.load_graph(spark, str(tmp_path))
     assert held.count() == 4 * 400 * 399 // 2 and held.exceptAll(edges).count() == 0
     assert sum(p.stat().st_size for p in (tmp_path / "edges").glob("*.parquet")) < held.count() / 2
+
+
+@pytest.mark.parametrize("least", [0.05, 0.2, 0.5])
+def test_edges_are_counted_without_pairs(spark, monkeypatch, least):
+    r = random.Random(13)
+    sets = {k: {f"t{r.randint(0, 9 if k % 3 else 25)}" for _ in range(r.choice([1, 2, 3, 5, 7, 20]))} for k in range(90)}
+    df = nodes(spark, [(k, "x", sorted(v), sorted(v)[:3], "s") for k, v in sets.items()])
+    near = lambda a, b: len(a & b) >= least * len(a | b)
+    count = lambda s: sum(near(s[i], s[j]) for i in s for j in s if i < j)
+    got = {x.relationship_type: x.n_edges for x in graph.edge_type_counts(df, least=least).collect()}
+    assert got == {"shared_entity": count(sets), "shared_keyphrase": count({k: set(sorted(v)[:3]) for k, v in sets.items()}), "hierarchical": 90 * 89 // 2}
+    assert graph.edge_type_counts(df.limit(0)).where("n_edges = 0").count() == 3
+    if least == 0.05:
+        few = graph.linked_nodes(graph.term_classes(df, "keyphrases")[0])
+        assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()

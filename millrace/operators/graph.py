@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import normalise_terms
 from ..session import durable
@@ -174,15 +175,21 @@ def multihop_pairs(nodes: DataFrame, key: str = "chunk_id", low: float = 0.4, hi
     of edge, unless ``distinct_pairs``.
 
     The list is short, so edges are unfolded from the smallest sources on and only as far as they
-    can be in it: when enough pairs across files have been found, no later source can add one. (By
-    distance from the middle, and where such pairs are rare, all sources are unfolded.)
+    can be in it: when enough pairs across files have been found, no later source can add one (where
+    such pairs are rare, all sources are unfolded). By distance from the middle, edges of classes are
+    ranked and those of the first classes unfolded, unless of ``distinct_pairs``.
     """
     spark = nodes.sparkSession
     files = nodes.select(key, "source_file")
     kind = F.array_position(F.array(*map(F.lit, TYPES)), F.col("relationship_type"))
 
-    def ranked(chosen: DataFrame, bound) -> DataFrame:
-        edges = node_edges(nodes, chosen, key).where(F.col("strength").between(low, high))
+    distance = F.round(F.abs(F.col("strength") - (low + high) / 2), 6)
+
+    def ranked(chosen: DataFrame | None, bound) -> DataFrame:
+        if chosen is None:
+            edges = nearest_edges(nodes, key, low, high, most, distance)
+        else:
+            edges = node_edges(nodes, chosen, key).where(F.col("strength").between(low, high))
         if bound is not None:
             edges = edges.where(F.col("source_id") <= bound)
         named = edges.join(files.toDF("source_id", "_fa"), "source_id").join(files.toDF("target_id", "_fb"), "target_id")
@@ -190,7 +197,7 @@ def multihop_pairs(nodes: DataFrame, key: str = "chunk_id", low: float = 0.4, hi
         if distinct_pairs:
             best = named.groupBy("source_id", "target_id").agg(F.min(F.struct("_k", "relationship_type", "shared_properties", "strength", "cross_document")).alias("_e"))
             named = best.select("source_id", "target_id", "_e.*")
-        first = F.when(F.col("cross_document"), 0).otherwise(1) if prefer_cross else F.round(F.abs(F.col("strength") - (low + high) / 2), 6)
+        first = F.when(F.col("cross_document"), 0).otherwise(1) if prefer_cross else distance
         return named.orderBy(first, "source_id", "target_id", "_k").limit(most).drop("_k")
 
     if prefer_cross:
@@ -201,9 +208,49 @@ def multihop_pairs(nodes: DataFrame, key: str = "chunk_id", low: float = 0.4, hi
             found = ranked(spark.createDataFrame([(k,) for k in head], files.select(key).schema), head[-1])
             if found.where("cross_document").count() >= most:
                 return found
+    elif not distinct_pairs:
+        return ranked(None, None)
     return ranked(files.select(key), None)
 
 
+def nearest_edges(nodes: DataFrame, key: str, low: float, high: float, most: int, distance: Column) -> DataFrame:
+    """Edges of nodes among which are the first ``most`` of a strength in [low, high], by distance
+    (of ``strength``), source, target and kind.
+
+    The first edge between two classes is that of their smallest members. Of each kind only the
+    ``most`` pairs of classes that come first by it can be in the list, as each brings an edge, and
+    of a class only its ``most`` + 1 smallest members: for an edge of a later one, those of the
+    earlier ones with its other end come first.
+    """
+    out = None
+    whole = lambda df: df.where("n_members > 1").withColumn("strength", F.lit(1.0)).where(F.col("strength").between(low, high)).orderBy("class_id").limit(most)
+    for kind, column in ((ENTITY, "entities"), (KEYPHRASE, "keyphrases")):
+        classes, member = term_classes(nodes, column, key)
+        across = class_edges(classes, kind, max(LEAST, low - 1e-6)).where(F.col("strength").between(low, high))
+        across = across.orderBy(distance, "source_id", "target_id").limit(most).select("source_id", "target_id", "shared_properties", "strength")
+        inside = whole(classes).select(F.col("class_id").alias("source_id"), F.col("class_id").alias("target_id"), F.col("terms").alias("shared_properties"), "strength")
+        part = _unfolded(across.unionByName(inside), member, kind, key, most)
+        out = part if out is None else out.unionByName(part)
+    if low <= SECTION_STRENGTH <= high:
+        member = section_groups(nodes, key)
+        groups = member.where("n_members > 1").select("class_id").distinct().orderBy("class_id").limit(most)
+        named = groups.join(nodes.select(F.col(key).alias("class_id"), "parent_section"), "class_id")
+        own = named.select(F.col("class_id").alias("source_id"), F.col("class_id").alias("target_id"), F.array("parent_section").alias("shared_properties"), F.lit(SECTION_STRENGTH).alias("strength"))
+        out = out.unionByName(_unfolded(own, member, SECTION, key, most))
+    return out
+
+
+def _unfolded(edges: DataFrame, member: DataFrame, kind: str, key: str, most: int) -> DataFrame:
+    """Edges of the first ``most`` + 1 members of few classes."""
+    edges = durable(edges, "nearest")
+    few = F.broadcast(edges.select(F.explode(F.array("source_id", "target_id")).alias("class_id")).distinct())
+    order = Window.partitionBy("class_id").orderBy(key)
+    first = durable(member.join(few, "class_id", "left_semi").select("class_id", key, F.row_number().over(order).alias("_no")).where(F.col("_no") <= most + 1).drop("_no"), "members")
+    both = edges.join(first.toDF("source_id", "_x"), "source_id").join(first.toDF("target_id", "_y"), "target_id")
+    both = both.where((F.col("source_id") != F.col("target_id")) | (F.col("_x") < F.col("_y")))
+    return both.select(F.least("_x", "_y").alias("source_id"), F.greatest("_x", "_y").alias("target_id"), F.lit(kind).alias("relationship_type"), "shared_properties", "strength")
+
+
 def incident_edges(edges: DataFrame, node: int) -> DataFrame:
     """Edges of a frame of edges at one node or class."""
     return edges.where((F.col("source_id") == node) | (F.col("target_id") == node))

@@ -231,3 +231,19 @@ def test_edges_are_counted_without_pairs(spark, monkeypatch, least):
     if least == 0.05:
         few = graph.linked_nodes(graph.term_classes(df, "keyphrases")[0])
         assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("low, high", [(0.4, 0.82), (0.3, 1.0), (0.55, 0.7)])
+def test_nearest_edges_without_unfolding_all(spark, monkeypatch, low, high):
+    r = random.Random(14)
+    pick = lambda: [r.choice("abcdefgh") for _ in range(r.choice([1, 2, 3]))]
+    rows = [(k, r.choice("xy"), pick(), pick(), r.choice(["s", "t", None])) for k in r.sample(range(500), 80)]
+    df = nodes(spark, rows)
+    kind = {k: n for n, k in enumerate(graph.TYPES)}
+    unfolded = graph.node_edges(df, df.select("chunk_id")).collect()
+    band = [e for e in unfolded if low <= e.strength <= high]
+    order = sorted((round(abs(e.strength - (low + high) / 2), 6), e.source_id, e.target_id, kind[e.relationship_type], e.shared_properties) for e in band)
+    monkeypatch.setattr(graph, "node_edges", None)
+    for most in (3, 50, 100_000):
+        got = graph.multihop_pairs(df, low=low, high=high, most=most, prefer_cross=False).collect()
+        assert [(round(abs(e.strength - (low + high) / 2), 6), e.source_id, e.target_id, kind[e.relationship_type], e.shared_properties) for e in got] == order[:most]

@@ -247,3 +247,23 @@ def test_nearest_edges_without_unfolding_all(spark, monkeypatch, low, high):
     for most in (3, 50, 100_000):
         got = graph.multihop_pairs(df, low=low, high=high, most=most, prefer_cross=False).collect()
         assert [(round(abs(e.strength - (low + high) / 2), 6), e.source_id, e.target_id, kind[e.relationship_type], e.shared_properties) for e in got] == order[:most]
+
+
+@pytest.mark.parametrize("slices", [False, True])
+def test_bm25_ranks_without_pairs(spark, monkeypatch, slices):
+    if slices:
+        monkeypatch.setattr(retrieval, "WEIGHTS", 9)
+        monkeypatch.setattr(retrieval, "bm25_scores", None)
+    r = random.Random(15)
+    docs = {k: [r.choice("abcdefgh" + "a" * 9) for _ in range(r.randint(1, 8))] for k in r.sample(range(1000), 300)} | {1001: []}
+    queries = {k: [r.choice("abcdefghz") for _ in range(r.randint(1, 4))] for k in range(12)} | {12: []}
+    qs = spark.createDataFrame(list(queries.items()), "q long, tokens array<string>")
+    ds = spark.createDataFrame(list(docs.items()), "d int, tokens array<string>").repartition(3)
+    got = retrieval.bm25_ranks(qs, ds, "q", "d", 5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and got.schema["d"].dataType.simpleString() == "int"
+    want = bm25(queries, docs)
+    ranked = {(x.q, x.sparse_rank): x.d for x in got.collect()}
+    for q in queries:
+        order = sorted((-round(v, 9), d) for (k, d), v in want.items() if k == q and v > 0)[:5]
+        assert [ranked.get((q, n + 1)) for n in range(5)] == [d for _, d in order] + [None] * (5 - len(order))

@@ -267,3 +267,10 @@ def test_bm25_ranks_without_pairs(spark, monkeypatch, slices):
     for q in queries:
         order = sorted((-round(v, 9), d) for (k, d), v in want.items() if k == q and v > 0)[:5]
         assert [ranked.get((q, n + 1)) for n in range(5)] == [d for _, d in order] + [None] * (5 - len(order))
+
+
+def test_answers_without_a_row_for_each_pair(spark, monkeypatch):
+    from __spark_entry__ import HOME, queries
+
+    monkeypatch.setattr(retrieval, "bm25_scores", None)
+    assert queries()["generated_answers"](spark, HOME).where("answer <> ''").count() > 0
